@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, topk, warc
+from . import contamination, mixing, neardup, topk, warc
 from .work import table
 
 
@@ -25,6 +25,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", *[c for c in found.columns if c != "doc"])
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -33,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op9_neardup": op9_neardup,
     "op10_warc": op10_warc,
 }
 
@@ -60,6 +65,18 @@ SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
+    "op9_neardup": r"""
+        WITH RECURSIVE docs AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        cut AS (SELECT r, w, least(len(w), 5) AS n, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM docs WHERE len(w) > 0),
+        sets AS (SELECT DISTINCT r, array_to_string(w[i : i + n - 1], ' ') AS s FROM cut),
+        sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+        common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM sets a JOIN sets b USING (s) WHERE a.r <> b.r GROUP BY ALL),
+        links AS (SELECT p.doc_id AS a, q.doc_id AS b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b JOIN docs p ON p.r = a JOIN docs q ON q.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        least_ AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept
+        FROM docs JOIN least_ USING (doc_id) LEFT JOIN sizes USING (r)""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
         d AS (SELECT page_id, n, sha1(body) AS digest FROM p),
