@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, neardup, topk, warc
+from . import contamination, mixing, neardup, substrings, topk, warc
 from .work import table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
@@ -34,6 +39,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_topk": op2_topk,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
@@ -42,6 +48,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_substrings": r"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        cut AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13),
+        windows AS (SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM cut),
+        first AS (SELECT s, min(doc_id) AS source FROM windows GROUP BY s),
+        gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 13)) AS p FROM windows JOIN first USING (s) WHERE source < doc_id)),
+        word AS (SELECT r, p, w[p] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM docs)),
+        kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (r, p) GROUP BY r),
+        n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (r) LEFT JOIN n USING (r)""",
     "op2_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
