@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, neardup, substrings, topk, warc
+from . import contamination, mixing, neardup, substrings, topk, toxicity, warc
 from .work import table
 
 
@@ -30,6 +30,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", *[c for c in found.columns if c != "doc"])
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, model, keep=["doc_id"]).select("doc.doc_id", "held_out", "score", "predicted")
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op9_neardup": op9_neardup,
     "op10_warc": op10_warc,
 }
