@@ -20,7 +20,7 @@ no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .work import Workspace
 
 #: Rows of a query block and of a candidate block; a cell holds one of each.
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 1024
+QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 2048
 BINS = 256
 _LONG = 2**63 - 1
 
@@ -55,45 +55,34 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer products; in doubles wherever those are exact."""
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if bound < 2**53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    exact = q.astype(object) @ c.astype(object).T
-    return np.clip(exact, -_LONG, _LONG).astype(np.int64)
+    if bound < 2**51:
+        return q.astype(np.float64) @ c.astype(np.float64).T
+    return np.clip(q.astype(object) @ c.astype(object).T, -_LONG, _LONG)
 
 
 def _cells(queries: DataFrame, candidates: DataFrame, query_blocks: int, candidate_blocks: int) -> DataFrame:
     """Every pair of a query block and a candidate block as one group (cell)."""
-    q = queries.select("vec_id", "v", "lo", "hi", F.lit(True).alias("is_query"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(candidate_blocks - 1).cast("long"))).alias("cb"))
-    none = F.lit(None).cast("long")
-    c = candidates.select("vec_id", "v", none.alias("lo"), none.alias("hi"), F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("vec_id", "v", F.lit(7)), F.lit(candidate_blocks)).alias("cb"))
+    q = queries.select("vec_id", "v", "lo", F.lit(True).alias("is_query"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(candidate_blocks - 1).cast("long"))).alias("cb"))
+    c = candidates.select("vec_id", "v", F.lit(0).cast("long").alias("lo"), F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("vec_id", "v", F.lit(7)), F.lit(candidate_blocks)).alias("cb"))
     return q.unionByName(c).groupBy("qb", "cb")
 
 
-def _split(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-    q, c = pdf[pdf["is_query"]], pdf[~pdf["is_query"]].sort_values("vec_id")
+def _blocks(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, their lo, candidate ids ascending, scores, which are not a query's own row)."""
+    q, c = pdf[pdf["is_query"]], pdf[~pdf["is_query"]].sort_values("vec_id", kind="stable")
     width = int(max([0, *pdf["v"].map(len)]))
-    return q, _matrix(q["v"], width), c["vec_id"].to_numpy(np.int64), _matrix(c["v"], width)
+    ids, right = c["vec_id"].to_numpy(np.int64), _matrix(c["v"], width)
+    for at in range(0, len(q) if len(c) else 0, 256):
+        some = q.iloc[at : at + 256]
+        own = some["vec_id"].to_numpy(np.int64)
+        yield own, some["lo"].to_numpy(np.int64), ids, _scores(_matrix(some["v"], width), right), own[:, None] != ids[None, :]
 
 
-def _parts(pdf: pd.DataFrame) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    """(query id, lo, hi, candidate ids, scores) with the query's own rows left out."""
-    q, qm, ids, cm = _split(pdf)
-    if not len(q) or not len(ids):
-        return
-    for at in range(0, len(q), 256):
-        scores = _scores(qm[at : at + 256], cm)
-        for (qid, lo, hi), s in zip(q[["vec_id", "lo", "hi"]].iloc[at : at + 256].itertuples(index=False), scores, strict=True):
-            others = ids != qid
-            yield int(qid), int(lo), int(hi), ids[others], s[others]
-
-
-def _bin(s: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Bin of each score; below the interval -1, above it BINS."""
-    width = -(-(hi - lo + 1) // BINS)
-    if -(2**62) < lo and hi < 2**62:
-        b = (s - lo) // width
-        return np.where(s < lo, -1, np.where(s > hi, BINS, b))
-    return np.array([-1 if x < lo else BINS if x > hi else (x - lo) // width for x in s.tolist()], np.int64)
+def _bins(scores: np.ndarray, lo: np.ndarray, shift: int) -> np.ndarray:
+    """Bin above each query's lo, each 2**shift wide: -1 below, BINS beyond the last."""
+    if scores.dtype == np.float64:
+        return np.clip(np.floor((scores - lo[:, None]) * 2.0**-shift), -1, BINS).astype(np.int64)
+    return np.clip((scores - lo.astype(object)[:, None]) >> shift, -1, BINS).astype(np.int64)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -107,48 +96,45 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     open_ = work.keep(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     n_q, n_c = open_.count(), vectors.count()
     query_blocks, candidate_blocks = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_c // CANDIDATE_BLOCK))
-    # |score| <= product of norms; doubles are padded upwards before they bound integers
+    # |score| <= product of norms; padded upwards before it bounds integers
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     top = vectors.agg(F.max(norm(F.col("v"))).alias("m")).first()["m"] or 0.0
-    bound = F.least(F.ceil(F.least(norm(F.col("v")) * F.lit(top * (1 + 1e-9)), F.lit(float(2**62)))).cast("long") + 1, F.lit(2**62))
-    open_ = open_.select("vec_id", "v", (-bound).alias("lo"), bound.alias("hi"))
-    if top * top > 2**61:
-        open_ = open_.select("vec_id", "v", F.lit(-_LONG).alias("lo"), F.lit(_LONG).alias("hi"))
-    span = open_.agg(F.max(F.col("hi").cast("decimal(20,0)") - F.col("lo").cast("decimal(20,0)") + 1)).first()[0] or 1
-    rounds, left = 0, int(span)
-    while left > 1:
-        left, rounds = -(-left // BINS), rounds + 1
-
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for qid, lo, hi, _, s in _parts(pdf):
-            b = np.maximum(_bin(s, lo, hi), -1) + 1
-            n = np.bincount(b, minlength=BINS + 2)
-            above = np.cumsum(n[::-1])[::-1]
-            last = int(np.flatnonzero(above >= k)[-1]) if above[0] >= k else 0
-            some = np.flatnonzero(n[last:]) + last
-            out.append(pd.DataFrame({"vec_id": qid, "bin": some - 1, "n": n[some]}))
-        return pd.concat(out) if out else pd.DataFrame({"vec_id": [], "bin": [], "n": []}, dtype="int64")
-
-    for i in range(rounds):
-        counts = _cells(open_, vectors, query_blocks, candidate_blocks).applyInPandas(count, "vec_id long, bin long, n long")
+    bound = min(_LONG, int(top * top * (1 + 1e-9)) + 1)
+    shift = max(0, (2 * bound + 1).bit_length() - BINS.bit_length() + 1)
+    open_ = open_.withColumn("lo", F.lit(-bound).cast("long"))
+
+    def counter(shift: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for own, lo, _, scores, other in _blocks(pdf):
+                b = np.where(other, _bins(scores, lo, shift), -1) + 1
+                n = np.bincount((b + np.arange(len(own))[:, None] * (BINS + 2)).ravel(), minlength=len(own) * (BINS + 2)).reshape(len(own), -1)
+                above = np.cumsum(n[:, ::-1], axis=1)[:, ::-1] - n
+                row, some = np.nonzero((n > 0) & (above < k) & (np.arange(BINS + 2) > 0))
+                out.append(pd.DataFrame({"vec_id": own[row], "bin": some - 1, "n": n[row, some]}))
+            return pd.concat(out) if out else pd.DataFrame({"vec_id": [], "bin": [], "n": []}, dtype="int64")
+
+        return count
+
+    while True:
+        counts = _cells(open_, vectors, query_blocks, candidate_blocks).applyInPandas(counter(shift), "vec_id long, bin long, n long")
         merged = counts.groupBy("vec_id", "bin").agg(F.sum("n").alias("n")).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("bins"))
         # the highest bin at which the count from the top reaches k; with fewer scores, the lowest
-        walked = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at")), lambda a, b: F.when(a["seen"] >= k, a).otherwise(F.struct((a["seen"] + b["n"]).alias("seen"), b["bin"].alias("at"))))
+        walked = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("at")), lambda a, b: F.when(a["seen"] >= k, a).otherwise(F.struct((a["seen"] + b["n"]).alias("seen"), b["bin"].alias("at"))))
         chosen = merged.select("vec_id", walked["at"].alias("bin"))
-        width = F.ceil((F.col("hi").cast("decimal(20,0)") - F.col("lo").cast("decimal(20,0)") + 1) / BINS).cast("decimal(20,0)")
-        lo = F.when(F.col("bin") < 0, F.col("lo")).otherwise((F.col("lo") + F.col("bin") * width).cast("long"))
-        hi = F.when(F.col("bin") < 0, F.col("lo")).otherwise(F.least(F.col("hi").cast("decimal(20,0)"), F.col("lo") + (F.col("bin") + 1) * width - 1).cast("long"))
-        open_ = work.keep(open_.join(chosen, "vec_id").select("vec_id", "v", lo.alias("lo"), hi.alias("hi")), f"round{i}")
+        lo = F.col("lo") + F.shiftleft(F.col("bin"), shift)
+        open_ = work.keep(open_.join(chosen, "vec_id").select("vec_id", "v", lo.alias("lo")), f"round{shift}")
+        if not shift:
+            break
+        shift = max(0, shift - BINS.bit_length() + 1)
 
-    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for qid, lo, _, ids, s in _parts(pdf):
-            above, equal = np.flatnonzero(s > lo), np.flatnonzero(s == lo)[:k]
-            if len(above) > k:
-                above = above[np.lexsort((ids[above], -s[above]))[:k]]
-            pick = np.concatenate([above, equal])
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[pick], "score": s[pick]}))
+        for own, lo, ids, scores, other in _blocks(pdf):
+            kth = lo[:, None].astype(scores.dtype)
+            equal = (scores == kth) & other
+            row, at = np.nonzero(((scores > kth) & other) | (equal & (np.cumsum(equal, axis=1) <= k)))
+            out.append(pd.DataFrame({"query_id": own[row], "vec_id": ids[at], "score": scores[row, at].astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     hits = _cells(open_, vectors, query_blocks, candidate_blocks).applyInPandas(finish, "query_id long, vec_id long, score long")
