@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, neardup, substrings, topk, toxicity, warc
+from . import contamination, mixing, neardup, substrings, templates, topk, toxicity, warc
 from .work import table
 
 
@@ -30,6 +30,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", *[c for c in found.columns if c != "doc"])
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_lines": op5_lines,
     "op6_toxicity": op6_toxicity,
     "op9_neardup": op9_neardup,
     "op10_warc": op10_warc,
@@ -89,6 +95,27 @@ SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
+    "op5_lines": r"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS l FROM documents),
+        even AS (SELECT r, doc_id, l, list_transform(l, lambda x: regexp_replace(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g')) AS m FROM docs),
+        each AS (SELECT r, doc_id, m, unnest(m) AS line, unnest(range(1, len(m) + 1)) AS p FROM even),
+        cut AS (SELECT *, string_split(line, ' ') AS w, len(w) AS n, w[1:4] AS lead, hash(m) AS shape, hash(CASE WHEN p > 1 THEN m[p - 1] END, CASE WHEN p < len(m) THEN m[p + 1] END) AS around FROM each WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
+        distinct_ AS (SELECT DISTINCT n, lead, line, w FROM cut WHERE n > 4),
+        wide AS (SELECT n, lead, count(*) AS of FROM distinct_ GROUP BY ALL HAVING count(*) > 1),
+        tokens AS (SELECT n, lead, of, unnest(w) AS token, unnest(range(1, n + 1)) AS p FROM distinct_ JOIN wide USING (n, lead)),
+        constant AS (SELECT n, lead, p, token FROM tokens GROUP BY n, lead, of, p, token HAVING 2 * count(*) > of),
+        sized AS (SELECT n, lead, count(*) AS c FROM constant GROUP BY ALL),
+        fits AS (
+            SELECT d.n, d.lead, d.line FROM distinct_ d JOIN sized s USING (n, lead) JOIN constant k USING (n, lead)
+            WHERE 4 * s.c >= 3 * d.n GROUP BY d.n, d.lead, d.line, s.c HAVING count(*) FILTER (d.w[k.p] = k.token) = s.c),
+        named AS (SELECT c.r, c.doc_id, c.p, c.shape, c.around, CASE WHEN f.line IS NULL THEN 'L' || c.line ELSE 'G' || c.n || array_to_string(c.lead, ' ') END AS t FROM cut c LEFT JOIN fits f USING (n, lead, line)),
+        often AS (SELECT t, min(doc_id) AS first FROM named GROUP BY t HAVING count(DISTINCT shape) >= 3 AND 2 * count(DISTINCT around) >= count(DISTINCT shape)),
+        gone AS (SELECT DISTINCT r, p FROM named JOIN often USING (t) WHERE doc_id <> first),
+        word AS (SELECT r, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS p FROM docs),
+        kept AS (SELECT r, string_agg(x, chr(10) ORDER BY p) AS text FROM word ANTI JOIN gone USING (r, p) GROUP BY r),
+        n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+        SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(n, 0) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (r) LEFT JOIN n USING (r)""",
     "op9_neardup": r"""
         WITH RECURSIVE docs AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
