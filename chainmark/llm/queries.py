@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, neardup, substrings, templates, topk, toxicity, warc
+from . import contamination, mixing, neardup, pii, substrings, templates, topk, toxicity, warc
 from .work import table
 
 
@@ -41,6 +41,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, model, keep=["doc_id"]).select("doc.doc_id", "held_out", "score", "predicted")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    strict = F.filter("spans", lambda s: s["strict"])
+    kinds = F.transform(strict, lambda s: s["kind"])
+    counts = [F.size(F.array_compact(F.transform(kinds, pii.same(kind)))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(strict), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_lines": op5_lines,
     "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
     "op9_neardup": op9_neardup,
     "op10_warc": op10_warc,
 }
