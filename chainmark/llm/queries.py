@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, neardup, pii, substrings, templates, topk, toxicity, warc
+from . import contamination, licenses, mixing, neardup, pii, substrings, templates, topk, toxicity, warc
 from .work import table
 
 
@@ -49,6 +49,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(strict), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files below their source and language: source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown")))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.substring_index("path", "/", -1).try_cast("long").alias("doc_id"), "license", "origin", "cosine", "n_headers")
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,10 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lines": op5_lines,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
+    "op8_licenses": op8_licenses,
     "op9_neardup": op9_neardup,
     "op10_warc": op10_warc,
 }
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(*x) for x in licenses.TEMPLATES)
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
     "op1_substrings": r"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -125,6 +137,31 @@ SQL: dict[str, str] = {
         n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
         SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(n, 0) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
         FROM docs LEFT JOIN kept USING (r) LEFT JOIN n USING (r)""",
+    "op8_licenses": rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang FROM documents),
+        lines AS (SELECT r, text, unnest(string_split(text, chr(10))) AS unit, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM docs),
+        units AS (SELECT r, p, text, regexp_extract_all({_LOWER.format("unit")}, '{licenses.TERM}') AS w FROM lines WHERE regexp_matches(unit, '{licenses.SIGNAL}')),
+        known AS (SELECT license, regexp_extract_all({_LOWER.format("t")}, '{licenses.TERM}') AS w FROM (VALUES {_TEMPLATES}) AS x(license, t)),
+        n AS (SELECT count(*) AS n FROM units),
+        each AS (SELECT r, p, term, count(*) AS tf FROM (SELECT r, p, unnest(w) AS term FROM units) GROUP BY ALL),
+        idf AS (SELECT term, ln((max(n) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM each, n GROUP BY term),
+        unseen AS (SELECT ln(n + 1.0) + 1.0 AS u FROM n),
+        a0 AS (SELECT r, p, term, tf * idf AS w FROM each JOIN idf USING (term)),
+        a AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY r, p)) AS norm FROM a0),
+        b0 AS (SELECT license, term, count(*) * coalesce(max(idf), max(u)) AS w FROM (SELECT license, unnest(w) AS term FROM known) LEFT JOIN idf USING (term), unseen GROUP BY license, term),
+        b AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY license)) AS norm FROM b0),
+        dots AS (SELECT r, p, license, round(sum(a.w / a.norm * b.w / b.norm), 4) AS cosine FROM a JOIN b USING (term) GROUP BY ALL HAVING cosine >= {licenses.MIN_COSINE}),
+        best AS (SELECT * FROM dots QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY cosine DESC, license) = 1),
+        own AS (
+            SELECT r, first(license ORDER BY cosine DESC, license) AS license, max(cosine) AS cosine, count(*) AS n_headers,
+                2 * sum(len(w)) >= max(len(regexp_extract_all({_LOWER.format("text")}, '{licenses.TERM}'))) AS is_file
+            FROM best JOIN units USING (r, p) GROUP BY r),
+        dirs AS (SELECT source, lang, first(license ORDER BY cosine DESC, license) AS inherited FROM own JOIN docs USING (r) WHERE is_file GROUP BY ALL)
+        SELECT doc_id, coalesce(license, inherited) AS license,
+            CASE WHEN license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN inherited IS NOT NULL THEN 'inherited' END AS origin,
+            cosine, coalesce(n_headers, 0) AS n_headers
+        FROM docs LEFT JOIN own USING (r) LEFT JOIN dirs USING (source, lang)""",
     "op9_neardup": r"""
         WITH RECURSIVE docs AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
