@@ -90,7 +90,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: tu
     best = matched.join(units, ["f", "at"]).withColumn("inside", F.size(terms(F.col("unit"))))
     own = best.groupBy("f", "path", "named", "words").agg(F.min("best").alias("best"), F.count("*").alias("n_headers"), F.sum("inside").alias("inside"))
     own = work.keep(own.select("f", "path", (F.col("named") | (2 * F.col("inside") >= F.col("words"))).alias("is_file"), F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"), "n_headers"), "own")
-    folder = lambda p: F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise("")
+    folder = lambda p: F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).when(p.isNotNull(), "")
     covered = own.where("is_file and path is not null").groupBy(folder(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select("dir", F.col("best.license").alias("of_dir"))
     # every directory's ancestors, itself included, by depth; the deepest with a licence file counts
     dirs = rows.where("path is not null").select(folder(F.col("path")).alias("of")).distinct()
