@@ -48,7 +48,7 @@ def elo(games: DataFrame, k: float = ELO_K, home: float = ELO_HOME, factor: floa
 
 
 def elo_grid(games: DataFrame, ks: list[float], factors: list[float]) -> DataFrame:
-    """(k, factor, n, log_loss) of every grid point and league; points run in parallel."""
+    """(k, factor, n, log_loss) of every grid point over all leagues; points and leagues run in parallel."""
     points = lambda xs: F.explode(F.array(*[F.lit(float(x)) for x in xs]))
     rows = games.withColumn("k", points(ks)).withColumn("factor", points(factors))
 
@@ -57,9 +57,10 @@ def elo_grid(games: DataFrame, ks: list[float], factors: list[float]) -> DataFra
         p = _elo(pdf, k, ELO_HOME, factor, 1 / 3).merge(pdf[["game", "margin"]], on="game")
         p = p[p["margin"] != 0]
         q = np.clip(np.where(p["margin"] > 0, p["p_home"], 1 - p["p_home"]), 1e-15, 1)
-        return pd.DataFrame({"k": [k], "factor": [factor], "n": [len(p)], "log_loss": [float(-np.log(q).mean())]})
+        return pd.DataFrame({"k": [k], "factor": [factor], "n": [len(p)], "loss": [float(-np.log(q).sum())]})
 
-    return rows.groupBy("league", "k", "factor").applyInPandas(score, "k double, factor double, n long, log_loss double")
+    each = rows.groupBy("league", "k", "factor").applyInPandas(score, "k double, factor double, n long, loss double")
+    return each.groupBy("k", "factor").agg(F.sum("n").alias("n"), F.try_divide(F.sum("loss"), F.sum("n")).alias("log_loss"))
 
 
 class Filter:

@@ -58,11 +58,15 @@ def ridge_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as games: the customer's nation hosts the nation of the clerk's parity."""
+    """Every order is a game: the customer's nation hosts another one, in the league of 50 neighbouring customers.
+
+    Leagues grow in number with the table, not in size. In each, games follow their dates through the seasons.
+    """
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 10 = 0")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    league = F.floor(F.col("o_custkey") / 50).cast("string")
     away = (F.col("c_nationkey") + 1 + F.col("o_orderkey") / 10 % 24).cast("int") % 25
-    return rows.select(F.lit("L").alias("league"), F.col("o_orderkey").alias("game"), F.col("o_orderdate").alias("ts"), F.year("o_orderdate").alias("season"), F.weekofyear("o_orderdate").alias("week"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("home"), F.concat(F.lit("n"), away).alias("away"), (F.col("o_totalprice") % 41 - 20).cast("int").alias("margin"), F.lit(False).alias("neutral"), (F.col("o_totalprice") % 41).alias("home_value"), (F.col("o_totalprice") % 37).alias("away_value"))
+    return rows.select(league.alias("league"), F.col("o_orderkey").alias("game"), F.col("o_orderdate").alias("ts"), F.year("o_orderdate").alias("season"), F.weekofyear("o_orderdate").alias("week"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("home"), F.concat(F.lit("n"), away).alias("away"), (F.col("o_totalprice") % 41 - 20).cast("int").alias("margin"), F.lit(False).alias("neutral"), (F.col("o_totalprice") % 41).alias("home_value"), (F.col("o_totalprice") % 37).alias("away_value"))
 
 
 @query()
