@@ -55,7 +55,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The first stage has no SQL form; tests hold every stage against a brute-force version.
+#: The first stage has no SQL form; no test runs run() or the stages, only the operators they call.
 ORACLE_SQL = None
 
 
