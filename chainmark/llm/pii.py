@@ -54,10 +54,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     def pieces(p: int, kind: str, strict: bool, needs: str, pattern: str) -> Column:
         text = F.col("text")
         has = text.contains(needs) if needs == "@" else text.rlike(needs)
-        values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-        row = lambda v, i: F.struct(F.lit(p).alias("p"), F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("i"), F.length(F.get(between, i)).alias("gap"), v.alias("value"), F.right(F.get(between, i), F.lit(40)).alias("before"), F.left(F.get(between, i + 1), F.lit(1)).alias("after"))
+        # one array of one struct, so that the text is matched and split once and not once a match
+        once = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("between")))
+        row = lambda between: lambda v, i: F.struct(F.lit(p).alias("p"), F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("i"), F.length(F.get(between, i)).alias("gap"), v.alias("value"), F.right(F.get(between, i), F.lit(40)).alias("before"), F.left(F.get(between, i + 1), F.lit(1)).alias("after"))
         none = F.array().cast("array<struct<p:int,kind:string,strict:boolean,i:int,gap:int,value:string,before:string,after:string>>")
-        return F.when(has, F.transform(values, row)).otherwise(none)
+        return F.when(has, F.flatten(F.transform(once, lambda s: F.transform(s["values"], row(s["between"]))))).otherwise(none)
 
     every = F.concat(*[pieces(p, *x) for p, x in enumerate(PATTERNS)])
     rows = docs.where("text is not null").select("id", "h", F.explode(every).alias("c")).select("id", "h", "c.*")

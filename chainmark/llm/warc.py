@@ -84,8 +84,10 @@ def write(pages: DataFrame, work: Workspace, page_id: str = "page_id", url: str
     """Write every page to WARC files below the workspace; one row per record."""
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     base = base.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
-    same = base.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    rows = base.join(same, "digest", "left")
+    same = base.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("copies")).where("copies > 1")
+    # small payloads, many of them empty, have no partner: a key of their own each, not one hot digest
+    own = F.when(F.col("n") >= REVISIT_BYTES, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    rows = base.withColumn("at", own).join(same.select(F.col("digest").alias("at"), "stored"), "at", "left")
     revisit = F.col("stored").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("stored"))
     rows = rows.select("page_id", "url", url_key(F.col("url")).alias("key"), "digest", "n", F.when(revisit, F.col("stored")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"))
     folder = work.path("warc")

@@ -1,13 +1,14 @@
 """Tables that an operator writes between its steps.
 
 They go below the folder that the session names in ``spark.checkpoint.dir``,
-which driver and executors share, so a lost executor loses none of them.
-Only where the setting is absent (tests on one machine) is a local folder
-used.
+which driver and executors share, so a lost executor loses none of them. Where
+the setting is absent, a local folder serves sessions of one machine; on a
+cluster it is an error.
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -16,12 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@functools.cache
+def _local() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="chainmark-")
+
+
 def root(spark: SparkSession) -> str:
     """Folder for work tables; never a machine-local one on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="chainmark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        named = _local()
     return named.rstrip("/")
 
 
