@@ -1,4 +1,4 @@
-"""Against a brute-force scan; small blocks must not change the result."""
+"""Against a brute-force scan; neither full bit tables nor the kind of join change the result."""
 
 from __future__ import annotations
 
@@ -52,14 +52,26 @@ def case() -> tuple[list, list]:
     return docs, items
 
 
-@pytest.mark.parametrize("block", [500_000, 7])
-def test_equals_brute_force(spark: SparkSession, block: int) -> None:
+@pytest.mark.parametrize(("bits", "rows_"), [(1 << 26, 200_000), (64, 0)])
+def test_equals_brute_force(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, bits: int, rows_: int) -> None:
+    monkeypatch.setattr(contamination, "BITS", bits)
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", rows_)
     docs, items = case()
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    found = contamination.annotate(documents(spark, docs), bench, keep=["doc_id"], block_windows=block).collect()
+    bench = spark.createDataFrame([(i, t, 1, "w") for i, t in items], "item_id long, text string, n int, words string")
+    found = contamination.annotate(documents(spark, docs), bench, keep=["doc_id"]).collect()
     assert sorted(((r.doc.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found), key=repr) == brute(docs, items)
 
 
+def test_preamble_of_very_many_items(spark: SparkSession) -> None:
+    """A window that all items share is one window; documents that hold it name all of them."""
+    r = random.Random(2)
+    head = sentence(r, 30)
+    items = [(i, f"{head} q{i} {sentence(r, 3)}") for i in range(3000)]
+    docs = [(1, head), (2, f"{items[7][1]} end"), (3, sentence(r, 50))]
+    found = contamination.annotate(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"), keep=["doc_id"]).collect()
+    assert sorted(((x.doc.doc_id, x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in found), key=repr) == brute(docs, items)
+
+
 def test_filter_keeps_columns_and_clean_documents(spark: SparkSession) -> None:
     docs, items = case()
     df = documents(spark, docs)
