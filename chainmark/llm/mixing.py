@@ -7,7 +7,9 @@ entropy are ``exp(lambda * size / mean size)``, at most ``cap``. The dual is
 convex with one multiplier a source; damped Newton steps solve it, each a
 distributed aggregate over the (source, size) histogram. Rounding: within
 bounded buckets of a source, from long documents to short, each takes the
-number of copies nearest to its rate plus the words still owed.
+number of copies nearest to its rate plus the words still owed. Rows that
+repeat id, source and size are counted first and dealt to buckets in lots of at
+most BUCKET, so no bucket grows with a hot id.
 
 Defined cases: null text has size 0 and takes nothing; a null source is a
 source of its own, ranked last; repeated rows and null ids are rows like any
@@ -34,7 +36,8 @@ TOLERANCE, ROUNDS = 1e-9, 60
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """Adds ``target`` to (source, n, words): one row a source, by water-filling.
 
-    Sources are few and the windows below run over one row for each.
+    The windows below run in one task over one row of five numbers a source;
+    ten million sources would take it about a gigabyte.
     """
     place = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(place) - 1) % len(weights) + 1).cast("int"))
@@ -92,16 +95,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = work.keep(rows.withColumn("order", F.xxhash64("doc_id", "size")), "sizes")
+    rows = work.keep(rows, "sizes")
     histogram = work.keep(rows.groupBy("source", "size").agg(F.count("*").alias("docs")), "histogram")
     sources = histogram.groupBy("source").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("size")).alias("words"))
     dual = multipliers(histogram, work.keep(targets(sources, weights, cap), "targets"), work, cap)
     dual = dual.withColumnRenamed("source", "of")
-    rated = rows.join(dual, F.col("of").eqNullSafe(F.col("source"))).withColumn("rate", _rate(F.col("multiplier"), F.col("size"), F.col("mean"), cap))
-    rated = rated.select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", "rate", "order", F.pmod(F.xxhash64("order"), F.ceil(F.col("n") / BUCKET)).alias("bucket"))
+    counted = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    lots = counted.select("doc_id", "source", "size", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / BUCKET))).alias("lot"))
+    lots = lots.select("doc_id", "source", "size", F.least(F.lit(BUCKET).cast("long"), F.col("rows") - F.col("lot") * BUCKET).alias("rows"), F.xxhash64("doc_id", "size", "lot").alias("order"))
+    rated = lots.join(dual, F.col("of").eqNullSafe(F.col("source"))).withColumn("rate", _rate(F.col("multiplier"), F.col("size"), F.col("mean"), cap))
+    rated = rated.select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", "rate", "order", "rows", F.pmod(F.xxhash64("order"), F.ceil(F.col("n") / BUCKET)).alias("bucket"))
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "order"], ascending=[False, True], kind="stable")
+        pdf = pdf.loc[pdf.index.repeat(pdf["rows"])].reset_index(drop=True)
         pdf["copies"] = _rounded(pdf, cap)
         pdf["taken"] = pdf["copies"] * pdf["size"]
         return pdf[["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"]]
