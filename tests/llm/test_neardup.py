@@ -12,7 +12,7 @@ from chainmark.llm import neardup
 from chainmark.llm.components import components
 from chainmark.llm.work import Workspace
 
-from .fixtures import documents, rows
+from .fixtures import documents, rows, sentence
 
 LOWER = bytes(range(256)).lower()
 
@@ -61,6 +61,54 @@ def test_groups_with_failed_comparisons(spark: SparkSession) -> None:
     assert sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in found), key=repr) == brute(data)
 
 
+def test_loose_group_and_templates(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """A passage in all texts, a few of them linked, and texts from one template that are linked only by chance."""
+    monkeypatch.setattr(neardup, "RARE", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    r = random.Random(3)
+    passage = sentence(r, 60)
+    data = [(i, f"{sentence(r, 15)} {passage} {sentence(r, 25)}") for i in range(150)]
+    for i in range(150, 200):  # edited copies of some of them
+        words = data[i % 10][1].split()
+        words[r.randrange(len(words))] = "edit"
+        data.append((i, " ".join(words)))
+    base = sentence(r, 100).split()
+    for i in range(200, 380):
+        words = list(base)
+        for k in range(0, 100, 12):
+            words[k] = r.choice(["red", "blue", words[k], words[k]])
+        data.append((i, " ".join(words)))
+    found = neardup.near_duplicates(documents(spark, data)).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in found), key=repr) == brute(data)
+
+
+def test_loose_group_takes_linear_work(spark: SparkSession) -> None:
+    """Two thousand texts around one passage: nearly no pair is formed, and none in cells."""
+    r = random.Random(6)
+    common = [r.randrange(2**62) for _ in range(80)]
+    sets = [(i, np.sort(np.array(common + [r.randrange(2**62) for _ in range(20)], np.int64)).tobytes()) for i in range(2000)]
+    sets += [(5000 + i, np.sort(np.append(np.frombuffer(sets[i][1], np.int64)[:-1], i)).tobytes()) for i in range(20)]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in sets], "node long, items binary")
+    work = Workspace(spark, "t")
+    nodes = work.keep(neardup.weighed(df.selectExpr("node", "node as part"), df, work), "nodes")
+    assert nodes.where("common >= need").count() == 0
+    pairs = {(x.a, x.b) for x in neardup.sharing_rare(nodes).collect()}
+    assert {(i, 5000 + i) for i in range(20)} <= pairs
+    assert len(pairs) < 100
+
+
+def test_recall_over_many_pairs() -> None:
+    """Pairs of similarity 0.75 share a band, but for one in many thousands."""
+    rng = np.random.default_rng(1)
+    missed = 0
+    for _ in range(300):
+        both, rest = rng.integers(1, 2**63, 150, dtype=np.uint64), rng.integers(1, 2**63, 50, dtype=np.uint64)
+        a, b = np.sort(np.concatenate([both, rest[:25]])), np.sort(np.concatenate([both, rest[25:]]))
+        keys = neardup.bands(neardup.superminhash(np.concatenate([a, b]), np.array([len(a), len(b)])))
+        missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
+
+
 def test_empty(spark: SparkSession) -> None:
     assert neardup.near_duplicates(documents(spark, [])).count() == 0
 
