@@ -79,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-_TEMPLATES = ", ".join("('{}', '{}')".format(*x) for x in licenses.TEMPLATES)
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(n, i, t.replace("'", "''")) for n, (i, t) in enumerate(licenses.TEMPLATES))
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
@@ -141,23 +141,26 @@ SQL: dict[str, str] = {
     "op8_licenses": rf"""
         WITH docs AS (
             SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang FROM documents),
-        lines AS (SELECT r, text, unnest(string_split(text, chr(10))) AS unit, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM docs),
-        units AS (SELECT r, p, text, regexp_extract_all({_LOWER.format("unit")}, '{licenses.TERM}') AS w FROM lines WHERE regexp_matches(unit, '{licenses.SIGNAL}')),
-        known AS (SELECT license, regexp_extract_all({_LOWER.format("t")}, '{licenses.TERM}') AS w FROM (VALUES {_TEMPLATES}) AS x(license, t)),
+        lines AS (
+            SELECT r, text, 'line' AS kind, unnest(string_split(text, chr(10))) AS unit, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM docs
+            UNION ALL SELECT r, text, 'block', unnest(regexp_split_to_array(text, '{licenses.BREAK}')), unnest(range(-len(regexp_split_to_array(text, '{licenses.BREAK}')), 0)) FROM docs),
+        units AS (SELECT r, p, text, kind, regexp_extract_all({_LOWER.format("unit")}, '{licenses.TERM}') AS w FROM lines WHERE regexp_matches(unit, '{licenses.SIGNAL}') AND (kind = 'line' OR contains(unit, chr(10)))),
+        known AS (SELECT template, license, regexp_extract_all({_LOWER.format("t")}, '{licenses.TERM}') AS w FROM (VALUES {_TEMPLATES}) AS x(template, license, t)),
         n AS (SELECT count(*) AS n FROM units),
         each AS (SELECT r, p, term, count(*) AS tf FROM (SELECT r, p, unnest(w) AS term FROM units) GROUP BY ALL),
         idf AS (SELECT term, ln((max(n) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM each, n GROUP BY term),
         unseen AS (SELECT ln(n + 1.0) + 1.0 AS u FROM n),
         a0 AS (SELECT r, p, term, tf * idf AS w FROM each JOIN idf USING (term)),
         a AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY r, p)) AS norm FROM a0),
-        b0 AS (SELECT license, term, count(*) * coalesce(max(idf), max(u)) AS w FROM (SELECT license, unnest(w) AS term FROM known) LEFT JOIN idf USING (term), unseen GROUP BY license, term),
-        b AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY license)) AS norm FROM b0),
-        dots AS (SELECT r, p, license, round(sum(a.w / a.norm * b.w / b.norm), 4) AS cosine FROM a JOIN b USING (term) GROUP BY ALL HAVING cosine >= {licenses.MIN_COSINE}),
+        b0 AS (SELECT template, license, term, count(*) * coalesce(max(idf), max(u)) AS w FROM (SELECT template, license, unnest(w) AS term FROM known) LEFT JOIN idf USING (term), unseen GROUP BY ALL),
+        b AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY template)) AS norm FROM b0),
+        dots AS (SELECT r, p, template, license, round(sum(a.w / a.norm * b.w / b.norm), 4) AS cosine FROM a JOIN b USING (term) GROUP BY ALL HAVING cosine >= {licenses.MIN_COSINE}),
         best AS (SELECT * FROM dots QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY cosine DESC, license) = 1),
-        own AS (
-            SELECT r, first(license ORDER BY cosine DESC, license) AS license, max(cosine) AS cosine, count(*) AS n_headers,
-                2 * sum(len(w)) >= max(len(regexp_extract_all({_LOWER.format("text")}, '{licenses.TERM}'))) AS is_file
-            FROM best JOIN units USING (r, p) GROUP BY r),
+        kinds AS (
+            SELECT r, kind, first(license ORDER BY cosine DESC, license) AS license, max(cosine) AS cosine, count(*) AS n, sum(len(w)) AS inside,
+                max(len(regexp_extract_all({_LOWER.format("text")}, '{licenses.TERM}'))) AS words
+            FROM best JOIN units USING (r, p) GROUP BY r, kind),
+        own AS (SELECT r, first(license ORDER BY cosine DESC, license) AS license, max(cosine) AS cosine, max(n) AS n_headers, 2 * max(inside) >= max(words) AS is_file FROM kinds GROUP BY r),
         dirs AS (SELECT source, lang, first(license ORDER BY cosine DESC, license) AS inherited FROM own JOIN docs USING (r) WHERE is_file GROUP BY ALL)
         SELECT doc_id, coalesce(license, inherited) AS license,
             CASE WHEN license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN inherited IS NOT NULL THEN 'inherited' END AS origin,
