@@ -47,6 +47,11 @@ def decision_instants(kickoff: Column, weekday_hours: tuple[tuple[int, int], ...
     return F.array(*[shift(d, h) for d, h in weekday_hours])
 
 
-def feature_as_of(kickoff: Column, candidates: Column) -> Column:
-    """The latest candidate instant strictly before kickoff, null if there is none."""
-    return F.array_max(F.filter(candidates, lambda c: c < kickoff))
+def slot_close(kickoff: Column, minutes: int = 5) -> Column:
+    """The last decision instant of a game: ``minutes`` before kickoff."""
+    return kickoff - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+
+
+def feature_as_of(kickoff: Column, week_decision: Column, candidates: Column) -> Column:
+    """The week's decision where it lies strictly before kickoff, else the latest candidate that does, else null."""
+    return F.when(week_decision < kickoff, week_decision).otherwise(F.array_max(F.filter(candidates, lambda c: c < kickoff)))

@@ -5,46 +5,83 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Play labels by class and garbage-time limits by quarter (overtime counts as the fourth).
+# Play labels by class, garbage-time limits by quarter (overtime counts as the fourth), success shares by down.
 RUSH = ("Rush", "Rushing Touchdown")
-PASS = ("Pass Reception", "Pass Incompletion", "Passing Touchdown", "Pass Interception Return", "Interception Return Touchdown", "Sack")
-SPECIAL = ("Kickoff", "Kickoff Return Touchdown", "Punt", "Punt Return Touchdown", "Field Goal Good", "Field Goal Missed", "Blocked Field Goal", "Blocked Punt")
-HAVOC = ("Sack", "Pass Interception Return", "Interception Return Touchdown", "Fumble Recovery (Opponent)", "Fumble Return Touchdown")
+PASS = ("Pass Reception", "Pass Incompletion", "Passing Touchdown", "Sack", "Interception", "Interception Return Touchdown", "Pass Interception Return")
+SPECIAL = (
+    "Kickoff",
+    "Kickoff Return (Offense)",
+    "Kickoff Return Touchdown",
+    "Punt",
+    "Punt Return Touchdown",
+    "Blocked Punt",
+    "Blocked Punt Touchdown",
+    "Field Goal Good",
+    "Field Goal Missed",
+    "Blocked Field Goal",
+    "Blocked Field Goal Touchdown",
+    "Missed Field Goal Return",
+    "Missed Field Goal Return Touchdown",
+    "Safety",
+)
+PENALTY = ("Penalty",)
+HAVOC = ("Sack", "Interception", "Interception Return Touchdown", "Pass Interception Return", "Fumble Recovery (Opponent)", "Fumble Return Touchdown")
 MARGIN_LIMITS = {1: 28, 2: 24, 3: 21, 4: 16}
 SUCCESS_SHARE = {1: 0.5, 2: 0.7, 3: 1.0, 4: 1.0}
+WP_LOW, WP_HIGH = 0.02, 0.98
+HALF_END, HURRY_UP, QUARTER = 120, 12, 900
+RULE_WP, RULE_MARGIN = "wp", "connelly_fallback"
 
 
 def _by(key: Column, values: dict[int, float]) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
 
 def garbage_time(margin: Column, period: Column, wp: Column) -> tuple[Column, Column]:
-    """(flag, rule): by win probability where known, else by margin and quarter."""
-    by_wp, by_margin = (wp > 0.98) | (wp < 0.02), F.abs(margin) > _by(F.least(period, F.lit(4)), MARGIN_LIMITS)
-    flag = F.when(wp.isNotNull(), by_wp).otherwise(F.coalesce(by_margin, F.lit(False)))
-    return flag, F.when(~flag, "none").when(wp.isNotNull(), "win_probability").otherwise("margin")
+    """(flag, rule): by win probability where it is known, else by margin and quarter."""
+    limit = F.coalesce(_by(F.least(period, F.lit(4)), MARGIN_LIMITS), F.lit(MARGIN_LIMITS[4]))
+    by_wp, by_margin = (wp > WP_HIGH) | (wp < WP_LOW), (F.abs(margin) > limit) & period.isNotNull()
+    return F.when(wp.isNotNull(), by_wp).otherwise(F.coalesce(by_margin, F.lit(False))), F.when(wp.isNotNull(), RULE_WP).otherwise(RULE_MARGIN)
 
 
 def success(yards: Column, distance: Column, down: Column) -> Column:
-    """Whether a play gained its down's share of the distance; null where undefined."""
-    fine = down.between(1, 4) & (distance > 0) & yards.isNotNull()
-    return F.when(fine, yards >= distance * _by(down, SUCCESS_SHARE))
+    """Whether a play gained its down's share of the distance; null where a part is missing or the down is not 1 to 4."""
+    return yards >= distance * _by(down, SUCCESS_SHARE)
 
 
-def play_class(label: Column) -> Column:
-    return F.when(label.isin(*RUSH), "rush").when(label.isin(*PASS), "pass").when(label.isin(*SPECIAL), "special").when(label.contains("Penalty"), "penalty").otherwise("other")
+def _in(label: Column, names: tuple[str, ...]) -> Column:
+    return F.coalesce(label.isin(*names), F.lit(False))
+
+
+def is_rush(label: Column) -> Column:
+    return _in(label, RUSH)
+
+
+def is_pass(label: Column) -> Column:
+    return _in(label, PASS)
+
+
+def is_special(label: Column) -> Column:
+    return _in(label, SPECIAL)
+
+
+def is_penalty(label: Column) -> Column:
+    return _in(label, PENALTY)
 
 
 def havoc(label: Column) -> Column:
-    return label.isin(*HAVOC)
+    return _in(label, HAVOC)
+
+
+def kneel_or_spike(label: Column) -> Column:
+    return F.coalesce(label.rlike("(?i)kneel|spike"), F.lit(False))
 
 
-def timed_snap(label: Column, half_seconds_left: Column, elapsed: Column) -> Column:
-    """Plays whose clock says something about tempo."""
-    return ~label.rlike("(?i)kneel|spike|timeout|end of") & (half_seconds_left > 120) & (elapsed >= 12)
+def end_of_half(period: Column, clock: Column) -> Column:
+    return F.coalesce(period.isin(2, 4) & (clock <= HALF_END), F.lit(False))
 
 
 def snap_elapsed(period: Column, before_period: Column, clock: Column, before_clock: Column) -> Column:
     """Seconds between snaps, over one quarter's end at most; within (0, 960], else null."""
-    seconds = F.when(period == before_period, before_clock - clock).when(period == before_period + 1, before_clock + 900 - clock)
-    return F.when((seconds > 0) & (seconds <= 960), seconds)
+    seconds = F.when(period == before_period, before_clock - clock).when(period == before_period + 1, before_clock + QUARTER - clock)
+    return F.when((seconds > 0) & (seconds <= QUARTER + 60), seconds)

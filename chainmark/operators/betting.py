@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import expected_value, kelly
 
-# Limits of the tiers, from the strongest down, and their slack against flapping.
-TIERS = (("strong", 0.85), ("lean", 0.70), ("slight", 0.575))
-SLACK = 0.03
+# Names and limits of the tiers, from the strongest down, and the band against flapping.
+TIERS = (("strong_lean", 0.85), ("clear_lean", 0.70), ("lean", 0.575))
+BOTTOM = "toss_up"
+BAND = 0.03
 
 
 def reasons(*checks: tuple[str, Column]) -> Column:
@@ -18,16 +18,29 @@ def reasons(*checks: tuple[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks]), lambda x: x.isNotNull())
 
 
-def stakes(df: DataFrame, period: list[str], order: list[str], p: str, decimal: str, weekly: float = 0.10) -> DataFrame:
-    """Adds edge, stake and placed: quarter Kelly until the period's exposure is used up.
+def stakes(df: DataFrame, period: list[str], order: list[str], p: str, decimal: str, weekly: float = 0.10, team: str | None = None, per_team: float = 0.05) -> DataFrame:
+    """Adds edge, stake and placed: quarter Kelly until the period's or the team's exposure is used up.
 
-    What is left for a row follows from the stakes before it, so one window
-    over the period suffices.
+    What is placed on a row depends on what was placed before it, on the team
+    and in all, so each period's bets (a week's, sorted) are folded in order.
     """
-    w = Window.partitionBy(*period).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumns({"edge": expected_value(F.col(p), F.col(decimal)), "stake": kelly(F.col(p), F.col(decimal))})
-    before = F.coalesce(F.sum("stake").over(w), F.lit(0.0))
-    return rows.withColumn("placed", F.greatest(F.lit(0.0), F.least(F.col("stake"), F.lit(weekly) - before)))
+    if team is None:
+        w = Window.partitionBy(*period).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("stake").over(w), F.lit(0.0))
+        return rows.withColumn("placed", F.greatest(F.lit(0.0), F.least(F.col("stake"), F.lit(weekly) - before)))
+    bet = F.struct(*order, F.coalesce(F.col(team).cast("string"), F.lit("")).alias("__team"), F.col("stake").alias("__stake"), F.struct(*rows.columns).alias("__row"))
+    bets = rows.groupBy(*period).agg(F.sort_array(F.collect_list(bet)).alias("__bets"))
+    none = F.struct(F.lit(0.0).alias("all"), F.create_map().cast("map<string,double>").alias("teams"), F.array().cast("array<double>").alias("placed"))
+
+    def place(a: Column, x: Column) -> Column:
+        used = F.coalesce(F.try_element_at(a["teams"], x["__team"]), F.lit(0.0))
+        now = F.greatest(F.lit(0.0), F.least(x["__stake"], F.lit(weekly) - a["all"], F.lit(per_team) - used))
+        teams = F.map_concat(F.map_filter(a["teams"], lambda k, _: k != x["__team"]), F.create_map(x["__team"], used + now))
+        return F.struct((a["all"] + now).alias("all"), teams.alias("teams"), F.concat(a["placed"], F.array(now)).alias("placed"))
+
+    folded = bets.select(F.explode(F.arrays_zip(F.col("__bets"), F.aggregate("__bets", none, place, lambda a: a["placed"]).alias("placed"))).alias("z"))
+    return folded.select("z.__bets.__row.*", F.col("z.placed").alias("placed"))
 
 
 def best_price(df: DataFrame, keys: list[str], decimal: str, order: str) -> DataFrame:
@@ -50,35 +63,35 @@ def strata(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def tier(p: Column) -> Column:
-    out = F.lit("toss-up")
+    out = F.lit(BOTTOM)
     for name, least in reversed(TIERS):
         out = F.when(p >= least, name).otherwise(out)
     return F.when(p.isNotNull(), out)
 
 
-def _with_slack(pdf: pd.DataFrame) -> pd.DataFrame:
-    names = ["toss-up", *[n for n, _ in reversed(TIERS)]]
-    least = [0.0, *[x for _, x in reversed(TIERS)]]
-    held, out = None, []
-    for p in pdf["p"]:
-        now = max(i for i, x in enumerate(least) if p >= x)
-        if held is not None and now > held and p < least[held + 1] + SLACK:
-            now = held
-        elif held is not None and now < held and p >= least[held] - SLACK:
-            now = held
-        held = now
-        out.append(names[now])
-    return pdf.assign(tier=out)
+def held_tier(p: Column, previous: Column) -> Column:
+    """The tier after ``previous``: it holds until p falls short of its limit by the band; a higher limit lifts it at once.
+
+    Only the bottom tier is left no sooner than its upper limit and the band.
+    """
+    raw = tier(p)
+    out = F.when((previous == BOTTOM) & (p < TIERS[-1][1] + BAND), BOTTOM)
+    for name, least in TIERS:
+        out = out.when((previous == name) & (p >= least - BAND), F.when(p >= least, raw).otherwise(name))
+    return out.otherwise(raw)
 
 
 def tier_history(df: DataFrame, keys: list[str], order: list[str], p: str) -> DataFrame:
-    """Adds tier with hysteresis: a change needs the limit passed by the slack.
+    """Adds tier with hysteresis, row by row in ``order``; rows without ``p`` are left out.
 
-    Each key's rows are few (the publications of one game); keys run in parallel.
+    Each key's rows (the publications of one game) are one array, folded in order.
     """
-    rows = df.where(F.col(p).isNotNull()).withColumn("p", F.col(p).cast("double"))
-    schema = rows.withColumn("tier", F.lit("")).schema
-    return rows.groupBy(*keys).applyInPandas(lambda pdf: _with_slack(pdf.sort_values(order, kind="stable")), schema)
+    one = F.struct(*order, F.col(p).cast("double").alias("__p"), F.struct(*df.columns).alias("__row"))
+    rows = df.where(F.col(p).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("__rows"))
+    step = lambda a, x: F.concat(a, F.array(held_tier(x["__p"], F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("none")))))
+    tiers = F.aggregate("__rows", F.array().cast("array<string>"), step)
+    each = rows.select(F.explode(F.arrays_zip(F.col("__rows"), tiers.alias("tier"))).alias("z"))
+    return each.select("z.__rows.__row.*", F.col("z.tier").alias("tier"))
 
 
 def graded(publishes: DataFrame, games: DataFrame, game: str, ts: str, kickoff: str, precedence: str) -> DataFrame:

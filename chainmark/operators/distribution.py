@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +40,21 @@ def key_number_kernel(df: DataFrame, mu: str, outcome: str, min_count: int = 5,
 def pmf(mu: Column, sigma: Column, kernel: Column | None = None, reach: int = REACH) -> Column:
     """array<struct(k, p)>: normal mass on whole numbers, times the kernel, summing to one."""
     s = F.greatest(sigma, F.lit(1e-8))
-    mass = lambda k: normal_cdf((k + 0.5 - mu) / s) - normal_cdf((k - 0.5 - mu) / s)
     weight = lambda k: F.lit(1.0) if kernel is None else F.coalesce(F.try_element_at(kernel, (k - F.bround(mu)).cast("int")), F.lit(1.0))
-    raw = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.struct(k.alias("k"), (mass(k) * weight(k)).alias("p")))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x["p"])
-    return F.transform(raw, lambda x: F.struct(x["k"].alias("k"), (x["p"] / total).alias("p")))
+    # every edge's distribution function once; each step goes through an array of one, so nothing is computed again inside a lambda
+    cdf = F.transform(F.sequence(F.lit(-reach), F.lit(reach + 1)), lambda k: normal_cdf((k - 0.5 - mu) / s))
+    mass = lambda c: F.transform(F.sequence(F.lit(0), F.lit(2 * reach)), lambda i: (F.get(c, i + 1) - F.get(c, i)) * weight(i - reach))
+    share = lambda x: F.transform(x["raw"], lambda m, i: F.struct((i - reach).alias("k"), (m / x["total"]).alias("p")))
+    summed = lambda r: F.struct(r.alias("raw"), F.aggregate(r, F.lit(0.0), lambda a, m: a + m).alias("total"))
+    return once(once(once(cdf, mass), summed), share)
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed a single time, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
-def probability(dist: Column, holds) -> Column:
+def probability(dist: Column, holds: Callable[[Column], Column]) -> Column:
     """Mass of the outcomes for which ``holds(k)`` is true."""
     return F.aggregate(dist, F.lit(0.0), lambda a, x: a + F.when(holds(x["k"]), x["p"]).otherwise(0.0))
 

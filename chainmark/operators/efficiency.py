@@ -33,17 +33,18 @@ def over_expectation(df: DataFrame, situation: list[Column], outcome: Column, en
     return joined.groupBy(*entity).agg(F.count("*").alias("n"), F.avg("__y").alias("observed"), F.avg("__p").alias("expected"), (F.avg("__y") - F.avg("__p")).alias("over"))
 
 
-def ridge_adjust(games: DataFrame, offense: str, defense: str, home: str, y: str, penalty: float = 5.0) -> DataFrame:
-    """(entity, off, def, hfa): y = off - def + hfa * home, ridge on every coefficient.
+def ridge_adjust(games: DataFrame, by: list[str], offense: str, defense: str, home: str, y: str, penalty: float = 5.0) -> DataFrame:
+    """(by, entity, off, def, hfa): y = off - def + hfa * home, ridge on every coefficient.
 
-    Spark sums the normal equations: counts by entity, by pair, and with home.
-    Only these go to the solver, one row a team and one a pair of teams, which a
-    league bounds; play counts do not change their number.
+    ``by`` names the league (or date and metric) that is fitted by itself. Spark
+    sums each league's normal equations: counts by entity, by pair, and with
+    home. One task solves one league: its rows are pairs of its teams, however
+    many plays there are, so leagues must be bounded, not the table.
     """
-    rows = games.select(F.col(offense).cast("string").alias("o"), F.col(defense).cast("string").alias("d"), F.col(home).cast("double").alias("h"), F.col(y).cast("double").alias("y")).where("o is not null and d is not null and y is not null")
-    pairs = rows.groupBy("o", "d").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum("h").alias("sh"), F.sum(F.col("h") * F.col("h")).alias("shh"), F.sum(F.col("h") * F.col("y")).alias("shy"))
+    rows = games.select(*by, F.col(offense).cast("string").alias("o"), F.col(defense).cast("string").alias("d"), F.col(home).cast("double").alias("h"), F.col(y).cast("double").alias("y")).where("o is not null and d is not null and y is not null")
+    pairs = rows.groupBy(*by, "o", "d").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum("h").alias("sh"), F.sum(F.col("h") * F.col("h")).alias("shh"), F.sum(F.col("h") * F.col("y")).alias("shy"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*pdf["o"], *pdf["d"]})
         at = {x: i for i, x in enumerate(names)}
         n, k = len(names), 2 * len(names)
@@ -57,16 +58,18 @@ def ridge_adjust(games: DataFrame, offense: str, defense: str, home: str, y: str
         np.add.at(right, d, -pdf["sy"].to_numpy(float))
         right[k] = pdf["shy"].sum()
         b = np.linalg.solve(gram + penalty * np.eye(k + 1), right)
-        return pd.DataFrame({"entity": names, "off": b[:n], "def": b[n:k], "hfa": b[k]})
+        return pd.DataFrame({**dict(zip(by, key, strict=True)), "entity": names, "off": b[:n], "def": b[n:k], "hfa": b[k]})
 
-    return pairs.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(solve, "entity string, off double, def double, hfa double")
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
+    return pairs.groupBy(*by).applyInPandas(solve, f"{kinds}, entity string, off double, def double, hfa double")
 
 
-def adjusted(games: DataFrame, ratings: DataFrame, offense: str, defense: str, home: str, y: str) -> DataFrame:
+def adjusted(games: DataFrame, ratings: DataFrame, by: list[str], offense: str, defense: str, home: str, y: str) -> DataFrame:
     """Adds adj_off and adj_def, each game's value freed of the opponent and the venue."""
-    r = ratings.select(F.col("entity").alias("__e"), "off", "def", "hfa")
-    mine = r.select(F.col("__e").alias("__o"), F.col("off").alias("__off"))
-    theirs = r.select(F.col("__e").alias("__d"), F.col("def").alias("__def"), F.col("hfa").alias("__h"))
-    rows = games.join(mine, F.col(offense).cast("string") == F.col("__o"), "left").join(theirs, F.col(defense).cast("string") == F.col("__d"), "left")
+    mine = ratings.select(*[F.col(c).alias(f"__m_{c}") for c in by], F.col("entity").alias("__o"), F.col("off").alias("__off"))
+    theirs = ratings.select(*[F.col(c).alias(f"__t_{c}") for c in by], F.col("entity").alias("__d"), F.col("def").alias("__def"), F.col("hfa").alias("__h"))
+    on = lambda side, team, name: [F.col(c) == F.col(f"__{side}_{c}") for c in by] + [F.col(team).cast("string") == F.col(name)]
+    rows = games.join(mine, on("m", offense, "__o"), "left").join(theirs, on("t", defense, "__d"), "left")
     edge = F.col("__h") * F.col(home).cast("double")
-    return rows.withColumns({"adj_off": F.col(y) + F.col("__def") - edge, "adj_def": F.col("__off") - F.col(y) + edge}).drop("__o", "__d", "__off", "__def", "__h")
+    extra = [f"__{s}_{c}" for s in "mt" for c in by]
+    return rows.withColumns({"adj_off": F.col(y) + F.col("__def") - edge, "adj_def": F.col("__off") - F.col(y) + edge}).drop("__o", "__d", "__off", "__def", "__h", *extra)

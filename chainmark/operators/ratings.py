@@ -84,21 +84,36 @@ class Filter:
         self.cov[:, :-1] *= share
         self.drift(variance)
 
-    def measure(self, h: dict[int, float], y: float, noise: float, clip: float = 2.5) -> tuple[float, float, float]:
-        """(innovation, its variance, z) of y = h x; outliers are clipped and trusted less."""
-        idx, w = np.fromiter(h, int), np.fromiter(h.values(), float)
-        ph = self.cov[:, idx] @ w
-        s = float(w @ ph[idx]) + noise
-        e = y - float(w @ self.mean[idx])
-        z = e / math.sqrt(s)
-        if abs(z) > clip:
-            s += noise * ((abs(z) / clip) ** 2 - 1)
-            e = math.copysign(clip * math.sqrt(s), e) if abs(e) > clip * math.sqrt(s) else e
-        gain = ph / s
-        self.mean += gain * e
-        self.cov -= np.outer(gain, ph)
+    def measure(self, rows: list[dict[int, float]], y: list[float], noise: list[float], clip: float = 2.5) -> tuple[np.ndarray, float]:
+        """(z of every row, log likelihood) of the joint measurement y = H x.
+
+        Innovations are clipped at ``clip`` predicted deviations, and clipped
+        rows are trusted less by (z / clip) ** 2; the covariance is updated in
+        Joseph's form. The likelihood is that of the raw innovations.
+        """
+        h = np.zeros((len(rows), len(self.mean)))
+        for i, row in enumerate(rows):
+            h[i, list(row)] = list(row.values())
+        ph, r = self.cov @ h.T, np.array(noise)
+        s = h @ ph + np.diag(r)
+        e, sd = np.array(y) - h @ self.mean, np.sqrt(np.maximum(np.diag(s), 1e-18))
+        z = e / sd
+        likelihood = -0.5 * (len(y) * math.log(2 * math.pi) + np.linalg.slogdet(s)[1] + float(e @ np.linalg.solve(s, e)))
+        r = r * np.where(np.abs(z) > clip, np.abs(z) / clip, 1.0) ** 2
+        gain = np.linalg.solve(h @ ph + np.diag(r), ph.T).T
+        self.mean = self.mean + gain @ (np.clip(z, -clip, clip) * sd)
+        left = np.eye(len(self.mean)) - gain @ h
+        self.cov = left @ self.cov @ left.T + (gain * r) @ gain.T
         self.cov = (self.cov + self.cov.T) / 2
-        return y - float(w @ (self.mean[idx] - gain[idx] * e)), s, z
+        return z, likelihood
+
+    def project(self) -> None:
+        """League means of offence and of defence to zero; only differences are identified."""
+        n = len(self.at)
+        p = np.eye(2 * n + 1)
+        for part in (slice(0, n), slice(n, 2 * n)):
+            p[part, part] -= 1 / n
+        self.mean, self.cov = p @ self.mean, p @ self.cov @ p.T
 
 
 def _filtered(pdf: pd.DataFrame, noise: float, drift: float, share: float) -> pd.DataFrame:
@@ -112,11 +127,11 @@ def _filtered(pdf: pd.DataFrame, noise: float, drift: float, share: float) -> pd
             f.drift(drift)
         season, week = g.season, g.week
         i, j, home = f.at[g.home], f.at[g.away], 0.0 if g.neutral else 0.5
-        e1 = f.measure({i: 1.0, n + j: -1.0, 2 * n: home}, g.home_value, noise)
-        e2 = f.measure({j: 1.0, n + i: -1.0, 2 * n: -home}, g.away_value, noise)
+        z, likelihood = f.measure([{i: 1.0, n + j: -1.0, 2 * n: home}, {j: 1.0, n + i: -1.0, 2 * n: -home}], [g.home_value, g.away_value], [noise, noise])
+        f.project()
         sd = math.sqrt(max(0.0, f.cov[i, i] + f.cov[n + i, n + i]))
-        out.append((g.league, g.game, f.mean[i] + f.mean[n + i], f.mean[j] + f.mean[n + j], sd, f.mean[-1], e1[2], e2[2]))
-    return pd.DataFrame(out, columns=["league", "game", "home_rating", "away_rating", "home_sd", "hfa", "z_home", "z_away"])
+        out.append((g.league, g.game, f.mean[i] + f.mean[n + i], f.mean[j] + f.mean[n + j], sd, f.mean[-1], z[0], z[1], likelihood))
+    return pd.DataFrame(out, columns=["league", "game", "home_rating", "away_rating", "home_sd", "hfa", "z_home", "z_away", "log_likelihood"])
 
 
 def joint_filter(games: DataFrame, noise: float = 100.0, drift: float = 0.5, share: float = 0.8) -> DataFrame:
@@ -125,4 +140,4 @@ def joint_filter(games: DataFrame, noise: float = 100.0, drift: float = 0.5, sha
     The full covariance lives through the whole sequence, so cross-team terms are kept.
     """
     run = lambda pdf: _filtered(pdf, noise, drift, share)
-    return games.groupBy("league").applyInPandas(run, "league string, game long, home_rating double, away_rating double, home_sd double, hfa double, z_home double, z_away double")
+    return games.groupBy("league").applyInPandas(run, "league string, game long, home_rating double, away_rating double, home_sd double, hfa double, z_home double, z_away double, log_likelihood double")

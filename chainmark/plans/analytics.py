@@ -52,9 +52,9 @@ def shrunk_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ridge_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier against brand effects on price, ridge on both."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand", (F.col("l_linenumber") == 1).alias("home"), (F.col("l_extendedprice") / 1000).alias("y"))
-    return efficiency.ridge_adjust(rows, "l_suppkey", "p_brand", "home", "y").select("entity", *[r6(c).alias(c) for c in ("off", "def", "hfa")])
+    """Supplier against brand effects on price, ridge on both, in leagues of 50 suppliers."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.floor(F.col("l_suppkey") / 50).alias("league"), "l_suppkey", "p_brand", (F.col("l_linenumber") == 1).alias("home"), (F.col("l_extendedprice") / 1000).alias("y"))
+    return efficiency.ridge_adjust(rows, ["league"], "l_suppkey", "p_brand", "home", "y").select("league", "entity", *[r6(c).alias(c) for c in ("off", "def", "hfa")])
 
 
 def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,23 @@ def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(league.alias("league"), F.col("o_orderkey").alias("game"), F.col("o_orderdate").alias("ts"), F.year("o_orderdate").alias("season"), F.weekofyear("o_orderdate").alias("week"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("home"), F.concat(F.lit("n"), away).alias("away"), (F.col("o_totalprice") % 41 - 20).cast("int").alias("margin"), F.lit(False).alias("neutral"), (F.col("o_totalprice") % 41).alias("home_value"), (F.col("o_totalprice") % 37).alias("away_value"))
 
 
-@query()
+# one step of the recursion is one game of every league; a rating is null until its team plays
+@query("""
+    WITH RECURSIVE o AS (
+        SELECT CAST(o_custkey // 50 AS VARCHAR) AS league, o_orderkey AS game, o_orderdate AS ts, year(o_orderdate) AS season, c_nationkey AS home,
+            CAST(floor(c_nationkey + 1 + (o_orderkey / 10.0) % 24) AS INTEGER) % 25 AS away, CAST(trunc(o_totalprice % 41 - 20) AS INTEGER) AS margin
+        FROM orders JOIN customer ON o_custkey = c_custkey),
+    g AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY ts, game) AS i, coalesce(lag(season) OVER (PARTITION BY league ORDER BY ts, game), season) AS before FROM o),
+    s AS (
+        SELECT league, CAST(0 AS BIGINT) AS i, [CAST(NULL AS DOUBLE) for x in range(25)] AS r, CAST(NULL AS BIGINT) AS game, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b, CAST(NULL AS DOUBLE) AS p, CAST(NULL AS DOUBLE) AS shift
+        FROM (SELECT DISTINCT league FROM g)
+        UNION ALL
+        SELECT league, i, list_transform(r, lambda x, j: CASE WHEN j = home + 1 THEN a + shift WHEN j = away + 1 THEN b - shift ELSE x END), game, a, b, p, shift
+        FROM (SELECT *, CASE WHEN margin = 0 THEN 30 * (0.5 - p) ELSE 30 * ln(abs(margin) + 1) * 2.8 / ((CASE WHEN margin > 0 THEN gap ELSE -gap END) * 0.001 + 2.8) * ((CASE WHEN margin > 0 THEN 1 ELSE 0 END) - p) END AS shift
+            FROM (SELECT *, a - b + 55 AS gap, 1 / (1 + pow(10.0, -(a - b + 55) / 400)) AS p
+                FROM (SELECT *, coalesce(r[home + 1], 1500.0) AS a, coalesce(r[away + 1], 1500.0) AS b
+                    FROM (SELECT g.*, CASE WHEN g.season <> g.before THEN list_transform(s.r, lambda x: x + (list_avg(s.r) - x) / 3) ELSE s.r END AS r FROM s JOIN g ON g.league = s.league AND g.i = s.i + 1)))))
+    SELECT game, round(a, 6) AS home_before, round(b, 6) AS away_before, round(p, 6) AS p_home, round(a + shift, 6) AS home_after, round(b - shift, 6) AS away_after FROM s WHERE i > 0""")
 def elo_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ratings.elo(_games(spark, sf_dir))
     return found.select("game", *[r6(c).alias(c) for c in ("home_before", "away_before", "p_home", "home_after", "away_after")])
@@ -145,7 +161,16 @@ def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"qa": numbers.implied(F.col("a")), "qb": numbers.implied(F.col("b"))})
 
 
-@query()
+@query("""
+    WITH RECURSIVE p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN -(110 + p_size) ELSE 100 + p_size END AS a, CASE WHEN p_partkey % 2 = 0 THEN 90 + p_size ELSE -(120 + p_size) END AS b FROM part),
+    q AS (SELECT p_partkey, 1 / CASE WHEN a > 0 THEN 1 + a / 100 ELSE 1 + 100 / -a END AS x, 1 / CASE WHEN b > 0 THEN 1 + b / 100 ELSE 1 + 100 / -b END AS y FROM p),
+    f AS (
+        SELECT p_partkey, x, y, CAST(0.01 AS DOUBLE) AS lo, CAST(100 AS DOUBLE) AS hi, CAST(0 AS DOUBLE) AS zl, CAST(0.9 AS DOUBLE) AS zh, 0 AS i FROM q
+        UNION ALL
+        SELECT p_partkey, x, y, CASE WHEN up THEN c ELSE lo END, CASE WHEN up THEN hi ELSE c END, CASE WHEN zup THEN z ELSE zl END, CASE WHEN zup THEN zh ELSE z END, i + 1
+        FROM (SELECT *, pow(x, c) + pow(y, c) > 1 AS up, (sqrt(z * z + 4 * (1 - z) * x * x / (x + y)) - z) / (2 * (1 - z)) + (sqrt(z * z + 4 * (1 - z) * y * y / (x + y)) - z) / (2 * (1 - z)) > 1 AS zup
+            FROM (SELECT *, (lo + hi) / 2 AS c, (zl + zh) / 2 AS z FROM f WHERE i < 50)))
+    SELECT p_partkey, round(pow(x, (lo + hi) / 2), 6) AS power, round((sqrt((zl + zh) / 2 * ((zl + zh) / 2) + 4 * (1 - (zl + zh) / 2) * x * x / (x + y)) - (zl + zh) / 2) / (2 * (1 - (zl + zh) / 2)), 6) AS shin FROM f WHERE i = 50""")
 def devig_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power and Shin probabilities, found by bisection inside the expression."""
     q, o = F.col("qa"), F.col("qb")
@@ -161,6 +186,21 @@ def kelly_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return betting.stakes(rows, ["p_brand"], ["p_partkey"], "p", "d").select("p_partkey", *[r6(c).alias(c) for c in ("edge", "stake", "placed")])
 
 
+@query("""
+    WITH RECURSIVE p AS (SELECT p_partkey, p_brand, p_size // 10 AS team, 1 + (50 + p_size) / 50.0 AS d, 0.4 + (p_partkey % 7) / 50.0 AS p FROM part),
+    e AS (SELECT *, CAST(least(greatest(0, ((d - 1) * p - (1 - p)) / (d - 1)) * 0.25, 0.015) AS DOUBLE) AS stake, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM p),
+    s AS (
+        SELECT p_brand, CAST(0 AS BIGINT) AS i, [CAST(0 AS DOUBLE) for x in range(6)] AS teams, CAST(0 AS DOUBLE) AS total, CAST(NULL AS BIGINT) AS p_partkey, CAST(0 AS DOUBLE) AS placed FROM (SELECT DISTINCT p_brand FROM e)
+        UNION ALL
+        SELECT p_brand, i, list_transform(teams, lambda x, j: CASE WHEN j = team + 1 THEN x + now ELSE x END), total + now, p_partkey, now
+        FROM (SELECT e.p_brand, e.i, e.team, s.teams, s.total, e.p_partkey, greatest(0, least(e.stake, 0.1 - s.total, 0.05 - s.teams[e.team + 1])) AS now FROM s JOIN e ON e.p_brand = s.p_brand AND e.i = s.i + 1))
+    SELECT p_partkey, round(placed, 6) AS placed FROM s WHERE i > 0""")
+def team_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stakes under a cap by week (brand) and one by team (size class)."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.floor(F.col("p_size") / 10).alias("team"), (1 + (50 + F.col("p_size")) / 50.0).alias("d"), (0.4 + (F.col("p_partkey") % 7) / 50.0).alias("p"))
+    return betting.stakes(rows, ["p_brand"], ["p_partkey"], "p", "d", team="team").select("p_partkey", r6("placed").alias("placed"))
+
+
 @query("""
     SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 40 THEN 'size' END, CASE WHEN p_retailprice > 1500 THEN 'price' END, CASE WHEN p_type = 'ECONOMY' THEN 'type' END], lambda x: x IS NOT NULL), ',') AS reasons FROM part""")
 def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +311,21 @@ def cqr_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.conformal_threshold(rows, ["p_brand"], "score", 0.1, "p_partkey").select("p_brand", "n", r6("threshold").alias("threshold"))
 
 
-@query()
+_RAW = "CASE WHEN p >= 0.85 THEN 'strong_lean' WHEN p >= 0.7 THEN 'clear_lean' WHEN p >= 0.575 THEN 'lean' ELSE 'toss_up' END"
+
+
+@query(f"""
+    WITH RECURSIVE x AS (SELECT event_id, user_id, 0.5 + value % 10 / 20 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+    s AS (
+        SELECT event_id, user_id, i, {_RAW} AS tier FROM x WHERE i = 1
+        UNION ALL
+        SELECT x.event_id, x.user_id, x.i, CASE
+            WHEN s.tier = 'strong_lean' AND p >= 0.85 - 0.03 THEN 'strong_lean'
+            WHEN s.tier = 'clear_lean' AND p >= 0.7 - 0.03 THEN CASE WHEN p >= 0.85 THEN 'strong_lean' ELSE 'clear_lean' END
+            WHEN s.tier = 'lean' AND p >= 0.575 - 0.03 THEN CASE WHEN p >= 0.85 THEN 'strong_lean' WHEN p >= 0.7 THEN 'clear_lean' ELSE 'lean' END
+            WHEN s.tier = 'toss_up' AND p < 0.575 + 0.03 THEN 'toss_up' ELSE {_RAW} END
+        FROM s JOIN x ON x.user_id = s.user_id AND x.i = s.i + 1)
+    SELECT event_id, tier FROM s""")
 def tier_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (0.5 + F.col("value") % 10 / 20).alias("p_favored"))
     return betting.tier_history(rows, ["user_id"], ["ts", "event_id"], "p_favored").select("event_id", "tier")

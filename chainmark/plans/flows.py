@@ -102,5 +102,5 @@ def stream_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, n, round(a, 6) AS alpha FROM s JOIN x USING (user_id, i) WHERE i = n""")
 def stream_adaptive_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = captures.stream(spark, sf_dir, "events").withColumn("order", F.struct("ts", "event_id").cast("string"))
-    found = captures.drain(captures.adaptive_alpha(rows, "user_id", "order", F.col("value") > 20), "update")
+    found = captures.drain(captures.adaptive_alpha(rows, "user_id", "order", F.col("value") > 20), "update", ["user_id"])
     return found.select("user_id", "n", r6("alpha").alias("alpha"))

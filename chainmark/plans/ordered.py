@@ -107,10 +107,11 @@ def season_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH k AS (SELECT event_id, ts, date_trunc('week', (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS monday FROM events),
     c AS (SELECT *, ((monday + INTERVAL 30 HOUR) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS tue, ((monday + INTERVAL 126 HOUR) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS sat FROM k)
-    SELECT event_id, tue AS tuesday, CASE WHEN sat < ts THEN sat WHEN tue < ts THEN tue END AS as_of FROM c""")
+    SELECT event_id, tue AS tuesday, CASE WHEN tue < ts THEN tue ELSE greatest(CASE WHEN sat < ts THEN sat END, ts - INTERVAL 5 MINUTE) END AS as_of FROM c""")
 def decision_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "ts", dates.decision_instants(F.col("ts")).alias("c"))
-    return rows.select("event_id", F.get("c", F.lit(0)).alias("tuesday"), dates.feature_as_of(F.col("ts"), F.col("c")).alias("as_of"))
+    tuesday, candidates = F.get("c", F.lit(0)), F.concat("c", F.array(dates.slot_close(F.col("ts"))))
+    return rows.select("event_id", tuesday.alias("tuesday"), dates.feature_as_of(F.col("ts"), tuesday, candidates).alias("as_of"))
 
 
 @query("""

@@ -18,8 +18,10 @@ from ..operators import quality
 
 
 def scratch(spark: SparkSession) -> str:
-    """A shared folder for tables that a query writes; local only where the session names none."""
+    """A shared folder for tables that a query writes; a local one only for sessions of one machine that name none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     return (named or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
 
 

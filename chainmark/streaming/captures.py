@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.store import scratch
@@ -51,17 +52,30 @@ def adaptive_alpha(rows: DataFrame, key: str, order: str, missed: Column, target
     return shaped.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, n long, alpha double", "n long, alpha double", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(rows: DataFrame, mode: str = "append") -> DataFrame:
+def drain(rows: DataFrame, mode: str = "append", key: list[str] | None = None, at: str | None = None) -> DataFrame:
     """Runs a stream over all that is there; its result as a table.
 
-    Files and the stream's checkpoint lie in the shared folder. In complete
-    and update mode every batch replaces the table.
+    Files and the stream's checkpoint lie below ``at`` (by default a new place
+    in the shared folder); called again with the same place the stream goes on
+    where it stopped. In complete mode every batch replaces the table. In update
+    mode each batch is written beside the earlier ones under its number (so a
+    batch that is run again replaces itself), and a ``key``'s newest row counts.
     """
-    at = f"{scratch(rows.sparkSession)}/streams/{uuid.uuid4().hex}"
+    at = at or f"{scratch(rows.sparkSession)}/streams/{uuid.uuid4().hex}"
     out = rows.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         run = out.outputMode("append").format("parquet").start(f"{at}/rows")
+    elif mode == "complete":
+        run = out.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/rows")).start()
     else:
-        run = out.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/rows") if not df.isEmpty() else None).start()
+        run = out.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")).start()
     run.awaitTermination()
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/rows")
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/rows")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # no batch, so no files
+        return spark.createDataFrame([], rows.schema)
+    if mode != "update":
+        return spark.read.schema(rows.schema).parquet(f"{at}/rows")
+    kept = spark.read.schema(StructType([*rows.schema, StructField("batch", LongType())])).parquet(f"{at}/rows")
+    newest = F.max_by(F.struct(*rows.columns), "batch")
+    return kept.groupBy(*key).agg(newest.alias("r")).select("r.*")
