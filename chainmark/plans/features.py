@@ -12,7 +12,7 @@ _LABELS = ("Rush", "Pass Reception", "Pass Incompletion", "Sack", "Rushing Touch
 #: Columns of a play as expressions that Spark and DuckDB read alike.
 _PLAY = {
     "game_id": "l_orderkey",
-    "play_id": "l_linenumber * 100000 + l_partkey",
+    "play_id": "l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey",
     "drive_id": "CAST(floor(l_linenumber / 3.0) AS INTEGER)",
     "offense_id": "l_suppkey % 40",
     "defense_id": "l_suppkey % 40 + 1",

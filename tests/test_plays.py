@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from chainmark.functions import plays
-from chainmark.operators import efficiency, ratings
+from chainmark.operators import efficiency, evaluation, ratings
 from chainmark.streaming import captures
 
 # label, down, distance, yards, period, margin, wp -> rush, pass, special, penalty, havoc, success, garbage
@@ -110,3 +110,18 @@ def test_drain_keeps_keys_of_earlier_batches(spark: SparkSession, tmp_path) -> N
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{source}")
         found = {x.k: (x.n, round(x.alpha, 6)) for x in captures.drain(stream(), "update", ["k"], at).collect()}
     assert found == {"a": (2, 0.06), "b": (1, 0.105)}
+
+
+def test_calibration_slope_and_top_correlated(spark: SparkSession) -> None:
+    r = random.Random(7)
+    rows = []
+    for _ in range(4000):
+        x = r.gauss(0, 1)
+        rows.append((1 / (1 + np.exp(-x)), float(r.random() < 1 / (1 + np.exp(-(0.3 + 0.8 * x)))), x + r.gauss(0, 1), r.gauss(0, 1)))
+    df = spark.createDataFrame([tuple(map(float, x)) for x in rows], "p double, y double, u double, v double")
+    a, b = evaluation.calibration_slope(df, "p", "y")
+    assert abs(a - 0.3) < 0.15
+    assert abs(b - 0.8) < 0.15
+    assert evaluation.top_correlated(df, ["v", "u", "p"], "y", 2) == ["p", "u"]
+    gates = evaluation.bonferroni_gate(spark.createDataFrame([("a", 0.02), ("a", 0.03), ("b", 0.04)], "f string, q double"), ["f"], "q")
+    assert {(x.f, x.limit, x.promoted) for x in gates.collect()} == {("a", 0.025, False), ("b", 0.05, True)}
