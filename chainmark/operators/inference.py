@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def block_sums(df: DataFrame, block: list[str], value: Column) -> DataFrame:
-    """(block number from 0, s, n): all that a bootstrap of a mean needs from the rows."""
+    """(block number from 0, s, n): all that a bootstrap of a mean needs from the rows.
+
+    One task numbers the blocks: one row of three numbers a block (weeks, months), not a row of data.
+    """
     sums = df.where(value.isNotNull()).groupBy(*block).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
     return sums.withColumn("__b", (F.row_number().over(Window.orderBy(*block)) - 1).cast("long")).select("__b", "s", "n")
 
@@ -66,10 +69,10 @@ def stability_index(expected: DataFrame, actual: DataFrame, value: str, bins: in
 
 
 def conformal_threshold(df: DataFrame, keys: list[str], score: str, alpha: float, order: str) -> DataFrame:
-    """(keys, n, threshold): the ceil((n + 1)(1 - alpha))-th smallest score, null if there are too few."""
+    """(keys, n, threshold): the ceil((n + 1)(1 - alpha))-th smallest score, the largest if there are too few."""
     w = Window.partitionBy(*keys)
     rows = df.where(F.col(score).isNotNull()).withColumns({"__i": F.row_number().over(w.orderBy(score, order)), "n": F.count("*").over(w)})
-    k = F.ceil((F.col("n") + 1) * (1 - alpha))
+    k = F.least(F.ceil((F.col("n") + 1) * (1 - alpha)), F.col("n"))
     return rows.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(F.col("__i") == k, F.col(score))).alias("threshold"))
 
 

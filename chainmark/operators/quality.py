@@ -30,6 +30,17 @@ def in_set(column: str, values: list, severity: str = "fail") -> Rule:
     return Rule(f"{column} in set", F.col(column).isNull() | F.col(column).isin(values), severity)
 
 
+def greater(column: str, other: str, severity: str = "fail") -> Rule:
+    return Rule(f"{column} > {other}", F.col(column).isNull() | F.col(other).isNull() | (F.col(column) > F.col(other)), severity)
+
+
+def exact_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The frame, if it has these columns and no others."""
+    if set(df.columns) != set(names):
+        raise ValueError(f"columns differ: {', '.join(sorted(set(df.columns) ^ set(names)))}")
+    return df
+
+
 def unique(df: DataFrame, keys: list[str]) -> tuple[DataFrame, Rule]:
     """Adds a count over the key; the rule holds where it is one."""
     name = "__n_" + "_".join(keys)

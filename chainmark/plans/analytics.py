@@ -115,6 +115,15 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(rows, [quality.between("l_quantity", 1, 45, "flag"), quality.in_set("l_returnflag", ["A", "N", "R"]), quality.not_null("l_tax"), single])
 
 
+@query("""
+    SELECT 'l_extendedprice > l_quantity' AS rule, 'fail' AS severity, count(*) AS n, count(*) FILTER (NOT l_extendedprice > l_quantity) AS failures, count(*) FILTER (NOT l_extendedprice > l_quantity) = 0 AS passed FROM lineitem
+    UNION ALL SELECT 'l_quantity > l_linenumber', 'flag', count(*), count(*) FILTER (NOT l_quantity > l_linenumber), count(*) FILTER (NOT l_quantity > l_linenumber) = 0 FROM lineitem""")
+def pair_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of columns on a table with exactly its columns."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return quality.report(quality.exact_columns(l, l.columns), [quality.greater("l_extendedprice", "l_quantity"), quality.greater("l_quantity", "l_linenumber", "flag")])
+
+
 @query("""
     WITH r AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) FILTER (l_quantity > 49) AS a, count(*) FILTER (l_extendedprice > 99900) AS b FROM lineitem GROUP BY 1)
     SELECT month, CASE WHEN b > 0 THEN 'QUARANTINED' WHEN a > 0 THEN 'FLAGGED' ELSE 'PASSED' END AS status, CAST(a + b AS BIGINT) AS failures FROM r""")
@@ -303,7 +312,7 @@ def psi_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH q AS (SELECT p_type, quantile_cont(p_retailprice, 0.25) AS lo, quantile_cont(p_retailprice, 0.75) AS hi FROM part GROUP BY 1), s AS (SELECT p_brand, p_partkey, greatest(lo - p_retailprice, p_retailprice - hi) AS score FROM part JOIN q USING (p_type)),
     r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score, p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM s)
-    SELECT p_brand, max(n) AS n, round(max(score) FILTER (i = ceil((n + 1) * (1 - 0.1))), 6) AS threshold FROM r GROUP BY 1""")
+    SELECT p_brand, max(n) AS n, round(max(score) FILTER (i = least(n, ceil((n + 1) * (1 - 0.1)))), 6) AS threshold FROM r GROUP BY 1""")
 def cqr_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     band = p.groupBy("p_type").agg(F.percentile("p_retailprice", F.lit(0.25)).alias("lo"), F.percentile("p_retailprice", F.lit(0.75)).alias("hi"))

@@ -64,6 +64,20 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(ORDERS.name)
 
 
+@query("""
+    WITH v AS (SELECT o_custkey, o_orderkey, 1 AS version FROM orders UNION ALL SELECT o_custkey, o_orderkey, 2 FROM orders WHERE o_orderkey % 4 = 0)
+    SELECT o_custkey, count(*) AS n, CAST(max(version) AS INTEGER) AS newest, true AS same FROM v GROUP BY 1""")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions appended to a key; the second append of the same rows changes nothing."""
+    store, o = _store(spark, sf_dir)
+    store.overwrite(o, ORDERS.name)
+    newer = o.where("o_orderkey % 4 = 0").withColumn("version", F.lit(2))
+    store.append(newer, ORDERS.name)
+    store.append(newer, ORDERS.name)
+    same = store.same(o.unionByName(newer), ORDERS.name) and not store.same(o, ORDERS.name)
+    return store.read(ORDERS.name).groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("version").alias("newest")).withColumn("same", F.lit(same))
+
+
 @query("""
     SELECT 'kept' AS place, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 0 AND 300000
     UNION ALL SELECT 'quarantine', count(*) FROM orders WHERE NOT o_totalprice BETWEEN 0 AND 300000""")
@@ -104,3 +118,16 @@ def stream_adaptive_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = captures.stream(spark, sf_dir, "events").withColumn("order", F.struct("ts", "event_id").cast("string"))
     found = captures.drain(captures.adaptive_alpha(rows, "user_id", "order", F.col("value") > 20), "update", ["user_id"])
     return found.select("user_id", "n", r6("alpha").alias("alpha"))
+
+
+LATEST = TableSpec("latest_events", "user_id long, event_id long, ts timestamp_ntz, part int", ("part",), ("user_id",))
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def stream_into_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late batches merged into a table: the stream's files come once more behind newer rows, and change nothing."""
+    store = Store(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}", [LATEST])
+    rows = captures.stream(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("user_id") % 4).cast("int").alias("part"))
+    for late in (rows.where("hour(ts) >= 12"), rows):
+        captures.into_store(late, store, LATEST.name, F.struct("ts", "event_id"))
+    return store.read(LATEST.name).select("user_id", "ts", "event_id")

@@ -79,6 +79,24 @@ class Store:
         for name in self.specs:
             self.read(name).createOrReplaceTempView(name)
 
+    def _touched(self, rows: DataFrame, name: str) -> DataFrame:
+        """Stored rows of the partitions that ``rows`` has rows for."""
+        spec = self.spec(name)
+        return self.read(name).join(F.broadcast(rows.select(*spec.partition).distinct()), list(spec.partition), "left_semi")  # one row a partition
+
+    def same(self, df: DataFrame, name: str) -> bool:
+        """Whether the partitions of ``df`` hold these rows already, by count and hashes of rows."""
+        spec = self.spec(name)
+        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema])
+        h = F.xxhash64(*rows.columns)
+        mark = lambda x: x.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first()
+        return mark(rows) == mark(self._touched(rows, name).select(*rows.columns))
+
+    def append(self, df: DataFrame, name: str) -> None:
+        """Adds rows; equal rows count once, so an append that is run again changes nothing. Versions of a key all stay."""
+        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spec(name).schema])
+        self.overwrite(self._touched(rows, name).select(*rows.columns).unionByName(rows).distinct(), name)
+
     def overwrite(self, df: DataFrame, name: str) -> None:
         """Replaces the partitions that ``df`` has rows for; a null partition value is refused."""
         spec = self.spec(name)
@@ -102,6 +120,11 @@ class Store:
         kept = self.read(name).join(touched, list(spec.partition), "left_semi").join(fresh.select(*key), key, "left_anti")
         self.overwrite(kept.unionByName(fresh.select(*kept.columns)), name)
 
+    def merge(self, df: DataFrame, name: str, newest: Column) -> None:
+        """As ``upsert``, but stored rows compete too: a late row never replaces a newer one, and a repeat changes nothing."""
+        columns = [f.name for f in self.spec(name).schema]
+        self.upsert(self._touched(df, name).select(*columns).unionByName(df.select(*columns)), name, newest)
+
     def append_checked(self, df: DataFrame, name: str, rules: list[quality.Rule], newest: Column, origin: str) -> None:
         """Upserts rows that keep the rules; the others go to the table's quarantine, never away."""
         good, bad = quality.split(df, rules)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.store import scratch
+from ..sources.store import Store, scratch
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,3 +79,10 @@ def drain(rows: DataFrame, mode: str = "append", key: list[str] | None = None, a
     kept = spark.read.schema(StructType([*rows.schema, StructField("batch", LongType())])).parquet(f"{at}/rows")
     newest = F.max_by(F.struct(*rows.columns), "batch")
     return kept.groupBy(*key).agg(newest.alias("r")).select("r.*")
+
+
+def into_store(rows: DataFrame, store: Store, name: str, newest: Column, at: str | None = None) -> None:
+    """Merges a stream into a table, batch by batch: late rows find their place, and a batch that is run again changes nothing."""
+    at = at or f"{scratch(rows.sparkSession)}/streams/{uuid.uuid4().hex}"
+    out = rows.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    out.foreachBatch(lambda df, _: store.merge(df, name, newest)).start().awaitTermination()
