@@ -43,8 +43,10 @@ PATTERNS: tuple[tuple[str, bool, str, str], ...] = (
     ("phone", False, r"[0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 )
 
-# Fixed values.
-_DOMAINS = "com|org|net|edu|gov|io|co|de|fr|es|uk|info|eu"
+# Common top-level domains, country calling codes, first digits of card issuers, words that announce a kind.
+_DOMAINS = "com|org|net|edu|gov|mil|int|io|co|me|app|dev|ai|biz|info|name|eu|de|fr|es|it|nl|be|ch|at|se|no|dk|fi|pl|cz|pt|ie|uk|us|ca|mx|br|ar|cl|au|nz|jp|cn|kr|in|za|ru|ua|tr|gr|il"
+_CODES = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|81|82|84|86|90|91|92|94|98|212|213|234|254|351|352|353|354|358|359|370|371|372|380|385|386|420|421|852|886|966|971|972"
+_ISSUERS = "4|5[1-5]|2[2-7]|3[0-9]|50|5[6-8]|6011|62|64|65|67"
 _CUES = {"email": r"(?i)\b(?:e-?mail|mail|contact|write|correo|courriel)\b", "ip": r"(?i)\b(?:ip|host|server|address|addr|login)\b", "card": r"(?i)\b(?:card|visa|credit|karte|carte|tarjeta|payment)\b", "phone": r"(?i)\b(?:tel|phone|call|mobile|fax|telefon|teléfono|tél)\b"}
 
 
@@ -98,9 +100,9 @@ def votes() -> dict[str, Column]:
     regex = F.when(F.col("strict"), F.col("fine").cast("int")).when(kind == "phone", F.length(digits).between(9, 15).cast("int"))
     gazetteer = (
         F.when(kind == "email", value.rlike(rf"(?:\.|dot[)\]]?\x20?)(?:{_DOMAINS})$").cast("int"))
-        .when(kind == "card", digits.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)").cast("int"))
+        .when(kind == "card", digits.rlike(rf"^(?:{_ISSUERS})").cast("int"))
         .when(kind == "ip", F.when(value.rlike(r"^(?:0|127|255)\."), 0))
-        .otherwise(F.when(value.rlike(r"^\+(?:1|44|49|33|34|39|41|43|61|81)(?![0-9]{12})"), 1).when(digits.rlike(r"^(?:000|123456|(.)\1+$)"), 0))
+        .otherwise(F.when(value.rlike(rf"^\+(?:{_CODES})(?![0-9]{{12}})"), 1).when(digits.rlike(r"^(?:000|123456|(.)\1+$)"), 0))
     )
     cue = F.lit(False)
     for k, words in _CUES.items():
