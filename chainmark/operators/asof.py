@@ -77,3 +77,29 @@ def interval_match(left: DataFrame, right: DataFrame, keys: list[str], left_ts:
     n = F.coalesce("n", F.lit(0)).cast("long")
     status = F.when(n == 1, "matched").when(n > 1, "quarantined").otherwise("unmatched")
     return out.select(F.col("__l").alias(left_id), F.when(n == 1, F.col("__rid")).alias(right_id if right_id != left_id else right_id + "_right"), n.alias("n"), status.alias("status"))
+
+
+def match_either(left: DataFrame, right: DataFrame, keys: list[str], pair: tuple[str, str], left_ts: str, right_ts: str, left_id: str, right_id: str, hours: float, known: DataFrame | None = None) -> DataFrame:
+    """(left id, right id, n, status): as ``interval_match`` by keys and pair; rows unmatched so are tried with the pair swapped.
+
+    ``known`` holds (left id, right id) of earlier matches, which are taken over and not searched again.
+    """
+    a, b = pair
+    found = left.sparkSession.createDataFrame([], left.select(left_id).schema) if known is None else known.select(left_id)
+    fresh = left.join(found, left_id, "left_anti")
+    first = interval_match(fresh, right, [*keys, a, b], left_ts, right_ts, left_id, right_id, hours)
+    again = fresh.join(first.where("status = 'unmatched'").select(left_id), left_id, "left_semi")
+    turned = right.withColumnsRenamed({a: "__x", b: "__y"}).withColumnsRenamed({"__x": b, "__y": a})
+    second = interval_match(again, turned, [*keys, a, b], left_ts, right_ts, left_id, right_id, hours)
+    out = first.where("status <> 'unmatched'").unionByName(second)
+    if known is None:
+        return out
+    return out.unionByName(known.select(left_id, right_id, F.lit(1).cast("long").alias("n"), F.lit("matched").alias("status")))
+
+
+def line_ladder(season: Column, cutover: int, snapshot: Column, snapshot_age_hours: Column, close: Column, tolerance: float = 12.0) -> tuple[Column, Column, Column]:
+    """(line, source, label): snapshots from the cutover on, closing lines before it or where there is no snapshot; the label tells old snapshots."""
+    later = season >= cutover
+    line, source = ladder(("snapshot", F.when(later, snapshot)), ("close", close))
+    label = F.when(source == "snapshot", F.when(snapshot_age_hours <= tolerance, "within_tolerance").otherwise("stale_snapshot")).when(source == "close", F.when(later, "fallback").otherwise("before_cutover"))
+    return line, source, label

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import records
+from ..operators import asof, records
 from .registry import query, r6, table
 
 
@@ -136,3 +136,28 @@ def line_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inert_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumns({"flat": F.lit(1), "empty": F.lit(None).cast("double")})
     return records.inert(rows, ["l_tax", "flat", "empty", "absent"])
+
+
+_PAIRS = "o AS (SELECT o_orderkey AS id, o_custkey % 6 AS a, o_orderkey // 2 % 6 AS b, o_orderdate AS ts FROM orders)"
+
+
+@query(f"""
+    WITH {_PAIRS}, l AS (SELECT * FROM o WHERE id % 2 = 0 AND id % 10 > 0), r AS (SELECT id AS rid, a, b, ts FROM o WHERE id % 2 = 1),
+    p AS (SELECT l.id, count(rid) AS n, min(rid) AS rid FROM l LEFT JOIN r ON l.a = r.a AND l.b = r.b AND abs(date_diff('second', l.ts, r.ts)) <= 36 * 3600 GROUP BY 1), s AS (SELECT l.id, count(rid) AS n, min(rid) AS rid FROM l LEFT JOIN r ON l.a = r.b AND l.b = r.a AND abs(date_diff('second', l.ts, r.ts)) <= 36 * 3600 GROUP BY 1),
+    m AS (SELECT id, CASE WHEN p.n > 0 THEN p.n ELSE s.n END AS n, CASE WHEN p.n > 0 THEN p.rid ELSE s.rid END AS rid FROM p JOIN s USING (id) UNION ALL SELECT id, 1, 7 FROM o WHERE id % 10 = 0)
+    SELECT id, CASE WHEN n = 1 THEN rid END AS rid, n, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'quarantined' ELSE 'unmatched' END AS status FROM m""")
+def pair_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs matched within 36 hours in either order; earlier matches are reused."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 6).alias("a"), (F.floor(F.col("o_orderkey") / 2) % 6).alias("b"), F.col("o_orderdate").alias("ts"))
+    known = o.where("id % 10 = 0").select("id", F.lit(7).cast("long").alias("rid"))
+    right = o.where("id % 2 = 1").withColumnRenamed("id", "rid")
+    return asof.match_either(o.where("id % 2 = 0"), right, [], ("a", "b"), "ts", "ts", "id", "rid", 36, known)
+
+
+@query("""
+    WITH x AS (SELECT p_partkey, 1990 + p_size % 40 AS season, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice END AS snap, p_size % 24 AS age, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice - 1 END AS cl FROM part), y AS (SELECT *, CASE WHEN season >= 2021 AND snap IS NOT NULL THEN 'snapshot' WHEN cl IS NOT NULL THEN 'close' END AS source FROM x)
+    SELECT p_partkey, round(CASE source WHEN 'snapshot' THEN snap WHEN 'close' THEN cl END, 6) AS line, source, CASE WHEN source = 'snapshot' THEN CASE WHEN age <= 12 THEN 'within_tolerance' ELSE 'stale_snapshot' END WHEN source = 'close' THEN CASE WHEN season >= 2021 THEN 'fallback' ELSE 'before_cutover' END END AS label FROM y""")
+def line_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    line, source, label = asof.line_ladder(1990 + F.col("p_size") % 40, 2021, F.when(k % 3 > 0, F.col("p_retailprice")), F.col("p_size") % 24, F.when(k % 5 > 0, F.col("p_retailprice") - 1))
+    return table(spark, sf_dir, "part").select("p_partkey", r6(line).alias("line"), source.alias("source"), label.alias("label"))
