@@ -72,11 +72,11 @@ def _design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.prior_design(rows, "season", "team", "grp", "rating")
 
 
-@query(f"WITH {_RATED}, {_DESIGN} SELECT team, season, round(prior, 5) AS prior, round(CASE WHEN prior IS NULL THEN rating ELSE (prior / 4 + rating * n / 9.0) / (1 / 4.0 + n / 9.0) END, 5) AS blended, round(CASE WHEN prior IS NULL THEN 9.0 / n ELSE 1 / (1 / 4.0 + n / 9.0) END, 5) AS variance FROM d")
+@query(f"WITH {_RATED}, {_DESIGN} SELECT team, season, round(prior, 9) AS prior, round(CASE WHEN prior IS NULL THEN rating ELSE (prior / 4 + rating * n / 9.0) / (1 / 4.0 + n / 9.0) END, 9) AS blended, round(CASE WHEN prior IS NULL THEN 9.0 / n ELSE 1 / (1 / 4.0 + n / 9.0) END, 9) AS variance FROM d")
 def team_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last season's rating pulled to its group, and its blend with what was seen since."""
     mean, variance = models.blended(F.col("prior"), F.lit(4.0), F.col("rating"), 9.0 / F.col("n"))
-    return _design(spark, sf_dir).select("team", "season", F.round("prior", 5).alias("prior"), F.round(mean, 5).alias("blended"), F.round(variance, 5).alias("variance"))
+    return _design(spark, sf_dir).select("team", "season", F.round("prior", 9).alias("prior"), F.round(mean, 9).alias("blended"), F.round(variance, 9).alias("variance"))
 
 
 @query(f"""

@@ -76,12 +76,12 @@ def require_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH a AS (SELECT l_partkey AS game, l_suppkey AS book, avg(l_extendedprice) AS x FROM lineitem WHERE l_quantity > 25 GROUP BY ALL), b AS (SELECT l_partkey AS game, l_suppkey AS book, avg(l_extendedprice) AS y FROM lineitem WHERE l_quantity <= 25 GROUP BY ALL),
     j AS (SELECT * FROM a FULL JOIN b USING (game, book)), s AS (SELECT game, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n, avg(x - y) AS s, median(x) - median(y) AS m FROM j GROUP BY 1)
-    SELECT game, CASE WHEN n > 0 THEN 'books' WHEN m IS NOT NULL THEN 'medians' ELSE 'one_sided' END AS basis, n, round(coalesce(s, m), 4) AS gap FROM s""")
+    SELECT game, CASE WHEN n > 0 THEN 'books' WHEN m IS NOT NULL THEN 'medians' ELSE 'one_sided' END AS basis, n, round(coalesce(s, m), 8) AS gap FROM s""")
 def book_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("game"), F.col("l_suppkey").cast("string").alias("book"), "l_quantity", F.col("l_extendedprice").alias("v"))  # noqa: E741
     side = lambda cond: l.where(cond).groupBy("game", "book").agg(F.avg("v").alias("v"))
     found = records.reconcile(side("l_quantity > 25"), side("l_quantity <= 25"), "game", "book", "v")
-    return found.select("game", "basis", "n", F.round("gap", 4).alias("gap"))
+    return found.select("game", "basis", "n", F.round("gap", 8).alias("gap"))
 
 
 @query("""
