@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, mixing, neardup, pii, substrings, templates, topk, toxicity, warc
+from . import alignment, contamination, licenses, mixing, neardup, pii, substrings, templates, topk, toxicity, warc
 from .work import table
 
 
@@ -66,6 +66,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = alignment.alignment(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc.doc_id", *[c for c in found.columns if c != "doc"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_topk": op2_topk,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_neardup": op9_neardup,
     "op10_warc": op10_warc,
+    "op13_alignment": op13_alignment,
 }
 
 _TEMPLATES = ", ".join("({}, '{}', '{}')".format(n, i, t.replace("'", "''")) for n, (i, t) in enumerate(licenses.TEMPLATES))
