@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, contamination, licenses, mixing, neardup, pii, substrings, templates, topk, toxicity, warc
+from . import alignment, contamination, licenses, mixing, neardup, phrases, pii, substrings, templates, topk, toxicity, warc
 from .work import table
 
 
@@ -66,6 +66,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = alignment.alignment(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc.doc_id", *[c for c in found.columns if c != "doc"])
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_neardup": op9_neardup,
     "op10_warc": op10_warc,
+    "op11_phrases": op11_phrases,
     "op13_alignment": op13_alignment,
 }
 
@@ -192,4 +197,23 @@ SQL: dict[str, str] = {
             CASE WHEN n >= 1000 AND page_id <> stored THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN n >= 1000 AND page_id <> stored THEN stored END AS refers_to
         FROM m""",
+    "op11_phrases": rf"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+        every AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+            FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM every GROUP BY ALL),
+        totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+        places AS (SELECT *, unnest(range(1, k)) AS cut FROM candidates),
+        cuts AS (
+            SELECT p.lang, p.phrase, p.a, cut, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * p.a) // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+            FROM places p JOIN f x ON x.lang = p.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = p.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+        weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inside AS (
+            SELECT DISTINCT c.lang, array_to_string(c.w[i : i + s - 1], ' ') AS phrase, c.a FROM candidates c, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS s) WHERE s < k AND i + s <= k + 1),
+        kept AS (SELECT * FROM weakest x WHERE NOT EXISTS (SELECT 1 FROM inside y WHERE y.lang = x.lang AND y.phrase = x.phrase AND 100 * y.a >= 80 * x.a))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
 }
