@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, contamination, licenses, mixing, neardup, phrases, pii, substrings, templates, topk, toxicity, warc
+from . import alignment, contamination, licenses, mixing, neardup, phrases, pii, sharding, substrings, templates, topk, toxicity, warc
 from .work import table
 
 
@@ -70,6 +70,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc.doc_id", *[c for c in found.columns if c != "doc"])
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = alignment.alignment(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc.doc_id", *[c for c in found.columns if c != "doc"])
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neardup": op9_neardup,
     "op10_warc": op10_warc,
     "op11_phrases": op11_phrases,
+    "op12_sharding": op12_sharding,
     "op13_alignment": op13_alignment,
 }
 
