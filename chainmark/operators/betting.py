@@ -75,9 +75,9 @@ def held_tier(p: Column, previous: Column) -> Column:
     Only the bottom tier is left no sooner than its upper limit and the band.
     """
     raw = tier(p)
-    out = F.when((previous == BOTTOM) & (p < TIERS[-1][1] + BAND), BOTTOM)
+    out = F.when((previous == BOTTOM) & (p < round(TIERS[-1][1] + BAND, 9)), BOTTOM)
     for name, least in TIERS:
-        out = out.when((previous == name) & (p >= least - BAND), F.when(p >= least, raw).otherwise(name))
+        out = out.when((previous == name) & (p >= round(least - BAND, 9)), F.when(p >= least, raw).otherwise(name))
     return out.otherwise(raw)
 
 

@@ -324,19 +324,19 @@ _RAW = "CASE WHEN p >= 0.85 THEN 'strong_lean' WHEN p >= 0.7 THEN 'clear_lean' W
 
 
 @query(f"""
-    WITH RECURSIVE x AS (SELECT event_id, user_id, 0.5 + value % 10 / 20 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+    WITH RECURSIVE x AS (SELECT event_id, user_id, round(0.5 + value % 10 / 20, 9) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
     s AS (
         SELECT event_id, user_id, i, {_RAW} AS tier FROM x WHERE i = 1
         UNION ALL
         SELECT x.event_id, x.user_id, x.i, CASE
-            WHEN s.tier = 'strong_lean' AND p >= 0.85 - 0.03 THEN 'strong_lean'
-            WHEN s.tier = 'clear_lean' AND p >= 0.7 - 0.03 THEN CASE WHEN p >= 0.85 THEN 'strong_lean' ELSE 'clear_lean' END
-            WHEN s.tier = 'lean' AND p >= 0.575 - 0.03 THEN CASE WHEN p >= 0.85 THEN 'strong_lean' WHEN p >= 0.7 THEN 'clear_lean' ELSE 'lean' END
-            WHEN s.tier = 'toss_up' AND p < 0.575 + 0.03 THEN 'toss_up' ELSE {_RAW} END
+            WHEN s.tier = 'strong_lean' AND p >= 0.82::DOUBLE THEN 'strong_lean'
+            WHEN s.tier = 'clear_lean' AND p >= 0.67::DOUBLE THEN CASE WHEN p >= 0.85 THEN 'strong_lean' ELSE 'clear_lean' END
+            WHEN s.tier = 'lean' AND p >= 0.545::DOUBLE THEN CASE WHEN p >= 0.85 THEN 'strong_lean' WHEN p >= 0.7 THEN 'clear_lean' ELSE 'lean' END
+            WHEN s.tier = 'toss_up' AND p < 0.605::DOUBLE THEN 'toss_up' ELSE {_RAW} END
         FROM s JOIN x ON x.user_id = s.user_id AND x.i = s.i + 1)
     SELECT event_id, tier FROM s""")
 def tier_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (0.5 + F.col("value") % 10 / 20).alias("p_favored"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.round(0.5 + F.col("value") % 10 / 20, 9).alias("p_favored"))
     return betting.tier_history(rows, ["user_id"], ["ts", "event_id"], "p_favored").select("event_id", "tier")
 
 

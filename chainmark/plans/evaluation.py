@@ -12,7 +12,7 @@ from ..operators import asof, betting, distribution, evaluation, quality, rating
 from ..sources import store as stores
 from .registry import query, r6, table
 
-#: Columns of a forecast as expressions that Spark and DuckDB read alike.
+#: Columns of a forecast as expressions that Spark and DuckDB read alike; doubles, as means of decimals are cut.
 _ROW = {
     "game": "l_orderkey",
     "line_no": "l_linenumber",
@@ -20,10 +20,10 @@ _ROW = {
     "status": "l_linestatus",
     "margin": "CAST(floor(l_quantity) AS INTEGER) - 25",
     "spread": "CAST(floor(l_extendedprice) AS INTEGER) % 29 - 14",
-    "mu_a": "CAST(floor(l_quantity) AS INTEGER) - 25 + l_partkey % 13 - 6.0",
-    "mu_b": "CAST(floor(l_quantity) AS INTEGER) - 25 + l_suppkey % 17 - 8.0",
-    "sigma": "4 + l_partkey % 7 * 1.0",
-    "p": "(1 + l_partkey % 97) / 99.0",
+    "mu_a": "CAST(floor(l_quantity) - 25 + l_partkey % 13 - 6 AS DOUBLE)",
+    "mu_b": "CAST(floor(l_quantity) - 25 + l_suppkey % 17 - 8 AS DOUBLE)",
+    "sigma": "CAST(4 + l_partkey % 7 AS DOUBLE)",
+    "p": "CAST(1 + l_partkey % 97 AS DOUBLE) / 99",
 }
 _ROWS = "f AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _ROW.items()) + " FROM lineitem)"
 _ATS = "y AS (SELECT *, CASE WHEN margin + spread > 0 THEN 1.0 WHEN margin + spread < 0 THEN 0.0 END AS y FROM f)"

@@ -23,8 +23,8 @@ _PLAY = {
     "period": "1 + l_partkey % 2 + CAST(floor(l_linenumber / 3.0) AS INTEGER)",
     "clock": "900 - l_linenumber * 40 - l_partkey % 37",
     "score_margin": "CAST(floor(l_extendedprice) AS INTEGER) % 61 - 30",
-    "wp_before": "CASE WHEN l_partkey % 3 <> 0 THEN (l_partkey % 101) / 100.0 END",
-    "epa": "CAST(floor(l_extendedprice) AS INTEGER) % 700 / 100.0 - 3",
+    "wp_before": "CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_partkey % 101 AS DOUBLE) / 100 END",
+    "epa": "CAST(CAST(floor(l_extendedprice) AS INTEGER) % 700 AS DOUBLE) / 100 - 3",
 }
 _BASE = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _PLAY.items()) + " FROM lineitem"
 _FLAGS = """

@@ -17,7 +17,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
         if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return "null"
         if isinstance(x, Number) and not isinstance(x, (bool, np.bool_)):
-            return f"{float(x):.5f}"
+            return f"{float(x) + 0.0:.6f}"
         return str(pd.Timestamp(x)) if hasattr(x, "isoformat") else str(x)
 
     return sorted(tuple(value(x) for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
