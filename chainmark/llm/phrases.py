@@ -8,7 +8,7 @@ words, only buckets of a hash:
 * a bucket counts phrases of n + 1 words whose two parts of n words passed
   those tests (DHP), and counts no further than ``support``.
 
-What is sent to the tasks are two bit tables of BITS bits (8 MiB each, whatever
+What is sent to the tasks are two bit tables of BITS bits (4 MiB each, whatever
 the corpus): the buckets that reached ``support`` and the hashes of the frequent
 phrases. Both err on one side only: they may let a phrase through, which the
 exact count then drops. Counts are kept by the phrase's text, never by a hash.
@@ -40,11 +40,11 @@ from .words import Texts, grams, mix, texts
 from .work import Workspace
 
 SUPPORT, LONGEST, TOP = 30, 4, 2000
-BITS = 1 << 26
+BITS = 1 << 25
 #: Parts of a language in which its best phrases are found first.
 PARTS = 64
 _U = np.uint64
-_ROWS = 1 << 20
+_ROWS = 1 << 17
 _STOPS = np.zeros(256, bool)
 _STOPS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _INSIDE = ~_STOPS
@@ -66,7 +66,7 @@ class _Slice:
         self.lang = lang[t.first + row]
         self.salt = of_lang[self.lang]
         self.hashes = t.hashes
-        stops = np.append(0, np.cumsum(_STOPS[t.data], dtype=np.int64))
+        stops = np.append(np.int32(0), np.cumsum(_STOPS[t.data], dtype=np.int32))
         self.next = np.zeros(len(row), bool)  # word k + 1 follows k in one piece
         self.next[:-1] = (row[1:] == row[:-1]) & (stops[t.begin[1:]] == stops[t.end[:-1]])
         edges = np.column_stack([t.begin, t.end]).ravel().astype(np.int64)
