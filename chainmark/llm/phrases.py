@@ -45,12 +45,15 @@ BITS = 1 << 25
 PARTS = 64
 _U = np.uint64
 _ROWS = 1 << 17
+#: Bytes of text that a task takes at a time, and rows that reach it together: a worker stays small beside its executor.
+_SLICE, _BATCH = 1 << 19, 2000
 _STOPS = np.zeros(256, bool)
 _STOPS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _INSIDE = ~_STOPS
 _INSIDE[[0x20, 0x09]] = False
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _SCHEMA = "lang string, phrase string, bucket long, n long"
+_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _NAMES = ["lang", "phrase", "bucket", "n"]
 
 
@@ -109,7 +112,7 @@ def _pass(n: int, last: bool, support: int, bits: int, buckets: Broadcast | None
             coded = batch.column(0).dictionary_encode()
             names, lang = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             of_lang = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names.to_pylist()], _U)
-            for t in texts(batch.column(1), _INSIDE, lower=True):
+            for t in texts(batch.column(1), _INSIDE, lower=True, size=_SLICE):
                 if not len(t.hashes):
                     continue
                 s = _Slice(t, lang, of_lang, bits)
@@ -148,8 +151,18 @@ def _bits(rows: DataFrame, bits: int) -> Broadcast:
 def frequent(docs: DataFrame, work: Workspace, text: str = "text", lang: str = "lang", support: int = SUPPORT, longest: int = LONGEST, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): (lang, phrase, words, f) of every phrase of 1 to ``longest`` words that occurs ``support`` times; (lang, n) words of a language."""
     read = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = parts = None
-    found, totals = [], None
+    conf = docs.sparkSession.conf
+    before = conf.get(_PER_BATCH)
+    conf.set(_PER_BATCH, str(min(int(before), _BATCH)))
+    try:
+        return _passes(read, work, support, longest, bits)
+    finally:
+        conf.set(_PER_BATCH, before)
+
+
+def _passes(read: DataFrame, work: Workspace, support: int, longest: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    buckets = parts = totals = None
+    found = []
     for n in range(1, longest + 1):
         rows = read.mapInArrow(_pass(n, n == longest, support, bits, buckets, parts), _SCHEMA)
         sums = rows.groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))

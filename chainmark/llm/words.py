@@ -46,7 +46,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 1), base, _U)
+        have = np.full(n + n // 4 + 1, base, _U)
         have[0] = 1
         _powers[int(base)] = have = np.multiply.accumulate(have)
     return have[:n]
@@ -91,8 +91,8 @@ def _hash(data: np.ndarray, starts: np.ndarray, classes: np.ndarray, codes: np.n
     return mix(hashes + (end - begin).astype(_U) * _MULT), begin, end
 
 
-def texts(column: pa.Array | pa.ChunkedArray, classes: np.ndarray = SPACED, lower: bool = False, seed: int = 1) -> Iterator[Texts]:
-    """Words of every text; a null counts as an empty text. Slices of whole rows."""
+def texts(column: pa.Array | pa.ChunkedArray, classes: np.ndarray = SPACED, lower: bool = False, seed: int = 1, size: int = SLICE_BYTES) -> Iterator[Texts]:
+    """Words of every text; a null counts as an empty text. Slices of whole rows, of about ``size`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -101,11 +101,11 @@ def texts(column: pa.Array | pa.ChunkedArray, classes: np.ndarray = SPACED, lowe
     whole = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
     codes, k = _codes(seed, lower), 0
     while k < len(column):
-        to = max(k + 1, int(np.searchsorted(offsets, offsets[k] + SLICE_BYTES, "right")) - 1)
+        to = max(k + 1, int(np.searchsorted(offsets, offsets[k] + size, "right")) - 1)
         data, starts = whole[offsets[k] : offsets[to]], offsets[k:to] - offsets[k]
         parts, at = [], 0
         while at < len(data):
-            cut = at + 2 * SLICE_BYTES
+            cut = at + 2 * size
             if cut < len(data):
                 gap = np.flatnonzero(~classes[data[cut:]])
                 cut = cut + int(gap[0]) if len(gap) else len(data)
