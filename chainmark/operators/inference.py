@@ -36,6 +36,55 @@ def block_bootstrap(df: DataFrame, block: list[str], value: Column, replicates:
     return means.groupBy("estimate").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"), ((bad + 1) / (F.count("*") + 1)).alias("p_not_positive"))
 
 
+def bootstrap(df: DataFrame, by: list[str], block: list[str], sums: dict[str, Column], statistics: dict[str, Column], replicates: int = 500, seed: str = "b", level: float = 0.95) -> DataFrame:
+    """(by, statistic, n_blocks, estimate, se, low, high, p): any statistic of sums, with whole blocks resampled.
+
+    ``sums`` are what rows add up to (counts, moments, cross products);
+    ``statistics`` are expressions over these sums (a mean, a slope, a
+    correlation), so they merge over any blocks. Rows are read once, down to one
+    vector a block; a replicate adds vectors by how often it drew their block.
+    ``p`` is two-sided: twice the smaller share of replicates on one side of
+    zero, the estimate counted as one of them.
+    """
+    each = df.groupBy(*by, *block).agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()])
+    w = Window.partitionBy(*by)  # one row a block
+    each = each.withColumns({"__b": F.row_number().over(w.orderBy(*block)) - 1, "__n": F.count("*").over(w)})
+    names = F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), c.cast("double").alias("value")) for n, c in statistics.items()])).alias("x")
+    totals = [F.sum(n).alias(n) for n in sums]
+    whole = each.groupBy(*by).agg(F.first("__n").alias("n_blocks"), *totals).select(*by, "n_blocks", names).select(*by, "n_blocks", "x.statistic", F.col("x.value").alias("estimate"))
+    slots = each.select(*by, F.col("__b").alias("__slot"), F.col("__n").alias("__of")).withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = slots.withColumn("__b", draw(F.col("__of"), F.col("__rep"), F.col("__slot"), seed)).groupBy(*by, "__rep", "__b").agg(F.count("*").alias("__times"))
+    again = drawn.join(each.drop("__n", *block), [*by, "__b"]).groupBy(*by, "__rep").agg(*[F.sum(F.col(n) * F.col("__times")).alias(n) for n in sums])
+    values = again.select(*by, names).select(*by, "x.statistic", "x.value")
+    tail, n = (1 - level) / 2, F.count("value") + 1
+    spread = values.groupBy(*by, "statistic").agg(
+        F.stddev_samp("value").alias("se"), F.percentile("value", F.lit(tail)).alias("low"), F.percentile("value", F.lit(1 - tail)).alias("high"),
+        F.least(F.lit(1.0), 2 * F.least((F.count_if(F.col("value") <= 0) + 1) / n, (F.count_if(F.col("value") >= 0) + 1) / n)).alias("p"),
+    )
+    return whole.join(spread, [*by, "statistic"]).select(*by, "statistic", "n_blocks", "estimate", "se", "low", "high", "p")
+
+
+def block_bootstraps(df: DataFrame, by: list[str], block: list[str], value: Column, replicates: int = 500, seed: str = "b", level: float = 0.95) -> DataFrame:
+    """(by, n, delta, low, high, p): the mean of ``value`` in each group."""
+    rows = df.withColumn("__v", value).where(F.col("__v").isNotNull())
+    n = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    found = bootstrap(rows, by, block, {"__s": F.col("__v"), "__m": F.lit(1)}, {"mean": F.col("__s") / F.col("__m")}, replicates, seed, level)
+    return n.join(found, by).select(*by, "n", F.col("estimate").alias("delta"), "low", "high", "p")
+
+
+#: Sums of a straight line y = a + b x, and what they amount to.
+LINE = {"n": lambda x, y: F.lit(1), "sx": lambda x, y: x, "sy": lambda x, y: y, "sxx": lambda x, y: x * x, "sxy": lambda x, y: x * y, "syy": lambda x, y: y * y}
+
+
+def line_bootstrap(df: DataFrame, by: list[str], block: list[str], x: Column, y: Column, replicates: int = 500, seed: str = "ols", level: float = 0.95) -> DataFrame:
+    """Slope, intercept and correlation of least squares, with bootstrap errors by whole blocks."""
+    rows = df.withColumns({"__x": x.cast("double"), "__y": y.cast("double")}).where("__x is not null and __y is not null")
+    n, sx, sy, sxx, sxy, syy = map(F.col, LINE)
+    slope = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
+    statistics = {"slope": slope, "intercept": (sy - slope * sx) / n, "correlation": F.try_divide(n * sxy - sx * sy, F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)))}
+    return bootstrap(rows, by, block, {k: f(F.col("__x"), F.col("__y")) for k, f in LINE.items()}, statistics, replicates, seed, level)
+
+
 def two_predictor_ols(df: DataFrame, keys: list[str], y: str, x1: str, x2: str) -> DataFrame:
     """(keys, n, a, b1, b2): least squares by moments, one aggregate."""
     rows = df.where(F.col(y).isNotNull() & F.col(x1).isNotNull() & F.col(x2).isNotNull())

@@ -8,6 +8,7 @@ Partition filters prune directories and other filters reach the scan.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +26,21 @@ def scratch(spark: SparkSession) -> str:
     return (named or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """A work table's folder goes when the session's process ends: frames that are returned may read it until then."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """The frame written below the shared folder and read back: its lineage ends there, and later steps read it instead of computing it again."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/chainmark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    delete_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class TableSpec:
     """Columns as DDL, partition columns among them, and the columns that identify a row."""
