@@ -21,14 +21,15 @@ def elo_expected(difference: Column) -> Column:
     return 1 / (1 + F.pow(F.lit(10.0), -difference / 400))
 
 
-def _elo(pdf: pd.DataFrame, k: float, home: float, factor: float, carry: float) -> pd.DataFrame:
+def _elo(pdf: pd.DataFrame, k: float, home: float, factor: float, carry: float, rating: dict[str, float] | None = None, season: int | None = None) -> pd.DataFrame:
+    """``rating`` is what the teams have before the first game; it is left as they have it after the last."""
     pdf = pdf.sort_values(["ts", "game"], kind="stable")
-    rating: dict[str, float] = {}
-    out, season = [], None
+    rating = {} if rating is None else rating
+    out = []
     for g in pdf.itertuples(index=False):
         if season is not None and g.season != season and rating:
             middle = sum(rating.values()) / len(rating)
-            rating = {t: r + carry * (middle - r) for t, r in rating.items()}
+            rating.update({t: r + carry * (middle - r) for t, r in rating.items()})
         season = g.season
         a, b = rating.get(g.home, ELO_START), rating.get(g.away, ELO_START)
         gap = a - b + (0.0 if g.neutral else home)
@@ -47,6 +48,33 @@ def elo(games: DataFrame, k: float = ELO_K, home: float = ELO_HOME, factor: floa
     return games.groupBy("league").applyInPandas(run, "league string, game long, home_before double, away_before double, p_home double, home_after double, away_after double")
 
 
+ELO_STATE = "league string, team string, rating double, season int, seen timestamp_ntz"
+
+
+def elo_step(state: DataFrame, games: DataFrame, k: float = ELO_K, home: float = ELO_HOME, factor: float = ELO_MARGIN, carry: float = 1 / 3) -> DataFrame:
+    """Ratings of all leagues through ``games`` (of one season): a row a game with what was known before it, and ELO_STATE rows with ``team``."""
+
+    def run(key: tuple, some: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        rating = dict(zip(before["team"], before["rating"], strict=True))
+        season = int(before["season"].iloc[0]) if len(before) else None
+        seen = before["seen"].max() if len(before) else pd.NaT
+        if not len(some):
+            return before.assign(game=pd.Series([pd.NA] * len(before), dtype="Int64"), home_before=np.nan, away_before=np.nan, p_home=np.nan, seen_before=pd.NaT)[names]
+        order = some.sort_values(["ts", "game"], kind="stable")
+        out = _elo(some, k, home, factor, carry, rating, season)[["league", "game", "home_before", "away_before", "p_home"]]
+        # strictly earlier results only: games of one instant do not know each other's time
+        times = order["ts"].reset_index(drop=True)
+        out["seen_before"] = times.map(times.drop_duplicates().shift().set_axis(times.drop_duplicates())).fillna(seen)
+        last = pd.DataFrame({"league": key[0], "team": list(rating), "rating": list(rating.values()), "season": int(order["season"].iloc[-1]), "seen": max(x for x in (seen, times.max()) if not pd.isna(x))})
+        both = pd.concat([out, last], ignore_index=True)
+        both["game"], both["season"] = both["game"].astype("Int64"), both["season"].astype("Int64")
+        return both[names]
+
+    schema = f"{ELO_STATE}, game long, home_before double, away_before double, p_home double, seen_before timestamp_ntz"
+    names = [f.split()[0] for f in schema.split(", ")]
+    return games.groupBy("league").cogroup(state.groupBy("league")).applyInPandas(run, schema)
+
+
 def elo_grid(games: DataFrame, ks: list[float], factors: list[float]) -> DataFrame:
     """(k, factor, n, log_loss) of every grid point over all leagues; points and leagues run in parallel."""
     points = lambda xs: F.explode(F.array(*[F.lit(float(x)) for x in xs]))

@@ -18,6 +18,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Ledger:
@@ -209,29 +210,29 @@ class Materialized:
             changed.write.parquet(f"{folder}/changed")
             changed = spark.read.parquet(f"{folder}/changed")
             some = source.alias("m").join(F.broadcast(changed.select(*by).alias("s")), same, "left_semi")  # one row a partition
-            compute(some).write.partitionBy(*by).parquet(f"{folder}/rows")
-            written = self._rows(f"{folder}/rows", compute(some.limit(0)).columns)
+            result = compute(some)
+            result.write.partitionBy(*by).parquet(f"{folder}/rows")
+            written = self._rows(f"{folder}/rows", result.schema)
             content = multiset(written, by, written.columns).select(*by, F.col("mark").alias("content"))
             state = changed.alias("m").join(content.alias("s"), same, "left").select(*[F.col(f"m.{c}").alias(c) for c in by], "m.rows", "m.mark", "m.spec", "s.content", F.lit(f"{folder}/rows").alias("folder"), F.lit(number).alias("version"))
             (state if held is None else state.unionByName(held)).write.parquet(f"{folder}/state")
             n = changed.agg(F.count("*"), F.sum("rows")).first()
             kept = 0 if held is None else held.count()
-            return {"version": number, "computed": n[0], "rows_read": n[1] or 0, "kept": kept, "removed": 0 if before is None else before.alias("s").join(marks.alias("m"), same, "left_anti").count()}
+            return {"schema": result.schema.jsonValue(), "version": number, "computed": n[0], "rows_read": n[1] or 0, "kept": kept, "removed": 0 if before is None else before.alias("s").join(marks.alias("m"), same, "left_anti").count()}
 
         return self.ledger.run_once(f"{self.name}-v{number:06d}", work)[0]
 
-    def _rows(self, folder: str, columns: list[str] | None = None) -> DataFrame:
-        rows = self.ledger.spark.read.parquet(folder)
-        return rows.select(*(columns or rows.columns))
+    def _rows(self, folder: str, schema: StructType) -> DataFrame:
+        return self.ledger.spark.read.schema(schema).parquet(folder).select(*schema.names)
 
     def read(self) -> DataFrame:
         """Rows of all partitions that the newest commit knows, from the folders it names."""
         state = self.state()
         if state is None:
             raise KeyError(f"{self.name} was never computed")
-        out = None
+        schema, out = StructType.fromJson(self.ledger.get(self._versions()[-1])["schema"]), None
         for r in state.select("folder").distinct().orderBy("folder").collect():  # one row a refresh that still counts
-            rows = self._rows(r.folder)
+            rows = self._rows(r.folder, schema)
             on = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in self.partition]
             some = rows.alias("m").join(F.broadcast(state.where(F.col("folder") == r.folder).alias("s")), on, "left_semi")
             out = some if out is None else out.unionByName(some)
