@@ -31,8 +31,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the rule of its SQL; the pipeline's stage counts unrelated documents instead."""
-    found = templates.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), varied=True)
+    found = templates.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -135,10 +134,10 @@ SQL: dict[str, str] = {
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
     "op5_lines": r"""
-        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS l FROM documents),
-        even AS (SELECT r, doc_id, l, list_transform(l, lambda x: regexp_replace(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g')) AS m FROM docs),
-        each AS (SELECT r, doc_id, m, unnest(m) AS line, unnest(range(1, len(m) + 1)) AS p FROM even),
-        cut AS (SELECT *, string_split(line, ' ') AS w, len(w) AS n, w[1:4] AS lead, hash(m) AS shape, hash(CASE WHEN p > 1 THEN m[p - 1] END, CASE WHEN p < len(m) THEN m[p + 1] END) AS around FROM each WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, md5(text) AS h, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, string_split(text, chr(10)) AS l FROM documents),
+        even AS (SELECT r, doc_id, h, words, l, list_transform(l, lambda x: regexp_replace(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g')) AS m FROM docs),
+        each AS (SELECT r, doc_id, h, words, m, unnest(m) AS line, unnest(range(1, len(m) + 1)) AS p FROM even),
+        cut AS (SELECT *, string_split(line, ' ') AS w, len(w) AS n, w[1:4] AS lead, hash(m) AS shape FROM each WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
         distinct_ AS (SELECT DISTINCT n, lead, line, w FROM cut WHERE n > 4),
         wide AS (SELECT n, lead, count(*) AS of FROM distinct_ GROUP BY ALL HAVING count(*) > 1),
         tokens AS (SELECT n, lead, of, unnest(w) AS token, unnest(range(1, n + 1)) AS p FROM distinct_ JOIN wide USING (n, lead)),
@@ -147,8 +146,19 @@ SQL: dict[str, str] = {
         fits AS (
             SELECT d.n, d.lead, d.line FROM distinct_ d JOIN sized s USING (n, lead) JOIN constant k USING (n, lead)
             WHERE 4 * s.c >= 3 * d.n GROUP BY d.n, d.lead, d.line, s.c HAVING count(*) FILTER (d.w[k.p] = k.token) = s.c),
-        named AS (SELECT c.r, c.doc_id, c.p, c.shape, c.around, CASE WHEN f.line IS NULL THEN 'L' || c.line ELSE 'G' || c.n || array_to_string(c.lead, ' ') END AS t FROM cut c LEFT JOIN fits f USING (n, lead, line)),
-        often AS (SELECT t, min(doc_id) AS first FROM named GROUP BY t HAVING count(DISTINCT shape) >= 3 AND 2 * count(DISTINCT around) >= count(DISTINCT shape)),
+        named AS (
+            SELECT c.r, c.doc_id, c.h, c.p, c.shape, c.words, c.n AS size, CAST('0x' || substring(md5(CASE WHEN f.line IS NULL THEN 'L' || c.line ELSE 'G' || c.n || ' ' || array_to_string(c.lead, ' ') END), 1, 15) AS BIGINT) AS t
+            FROM cut c LEFT JOIN fits f USING (n, lead, line)),
+        counted AS (SELECT t, count(DISTINCT shape) AS n, min(doc_id) AS first FROM named GROUP BY t HAVING count(DISTINCT shape) >= 3),
+        hits AS (SELECT DISTINCT doc_id, h, p, shape, words, size, t, n FROM named JOIN counted USING (t)),
+        whole AS (SELECT doc_id, h, max(words) AS words, sum(size) AS inside, first(t ORDER BY n, t) AS rarest FROM hits GROUP BY doc_id, h),
+        copies AS (SELECT doc_id, h, rarest FROM whole WHERE 4 * inside >= 3 * words),
+        votes AS (
+            SELECT x.t, c.rarest, count(*) AS n FROM hits x JOIN (SELECT DISTINCT rarest AS t FROM copies) USING (t) JOIN copies c ON x.doc_id IS NOT DISTINCT FROM c.doc_id AND x.h = c.h GROUP BY ALL),
+        called AS (SELECT t AS rarest, first(rarest ORDER BY n DESC, rarest DESC) AS name FROM votes GROUP BY t),
+        member AS (SELECT doc_id, h, name FROM copies JOIN called USING (rarest)),
+        units AS (SELECT DISTINCT t, name, CASE WHEN name IS NULL THEN shape END AS shape FROM hits LEFT JOIN member USING (doc_id, h)),
+        often AS (SELECT t, first FROM (SELECT t FROM units GROUP BY t HAVING count(*) >= 3) JOIN counted USING (t)),
         gone AS (SELECT DISTINCT r, p FROM named JOIN often USING (t) WHERE doc_id <> first),
         word AS (SELECT r, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS p FROM docs),
         kept AS (SELECT r, string_agg(x, chr(10) ORDER BY p) AS text FROM word ANTI JOIN gone USING (r, p) GROUP BY r),

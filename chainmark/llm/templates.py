@@ -16,10 +16,6 @@ by its rarest recurring line, after the name that most copies with that line
 have. Copies thus keep their text for near-duplicate detection, and lose only
 lines that unrelated documents have too.
 
-With ``varied`` (the rule of op5_lines' SQL) no groups are formed; instead a
-template's (line before, line after) pairs must be at least half as many as its
-documents, which spares boilerplate with fixed neighbours.
-
 Defined cases: null text has no lines and stays null; blank lines, and lines of
 fewer than MIN_TOKENS tokens, are never dropped; a null id ranks last; rows
 that share an id and a text are one document; an empty table gives no rows.
@@ -62,6 +58,11 @@ def _leaf(line: Column) -> Column:
     return F.xxhash64(_count(line), F.substring_index(line, " ", LEADING))
 
 
+def _named(text: Column) -> Column:
+    """Number of a template: 60 bits of MD5, so that ties go as any engine breaks them."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def _general(lines: DataFrame, work: Workspace) -> DataFrame:
     """(t, general): templates that take their leaf's template."""
     wide = lines.select("leaf", "t").distinct().groupBy("leaf").agg(F.count("*").alias("of")).where("of > 1")
@@ -73,7 +74,8 @@ def _general(lines: DataFrame, work: Workspace) -> DataFrame:
     kept = votes.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("constant"))
     found = rows.join(kept, "leaf")
     fits = (4 * F.size("constant") >= 3 * F.size("tokens")) & F.forall("constant", lambda c: F.get("tokens", c["at"]) == c["token"])
-    return found.where(fits).select("t", F.xxhash64(F.lit(2), "leaf").alias("general"))
+    leaf = F.concat(F.lit("G"), F.size("tokens").cast("string"), F.lit(" "), F.array_join(F.slice("tokens", 1, LEADING), " "))
+    return found.where(fits).select("t", _named(leaf).alias("general"))
 
 
 def _unrelated(named: DataFrame, counted: DataFrame, work: Workspace, min_docs: int) -> DataFrame:
@@ -92,35 +94,29 @@ def _unrelated(named: DataFrame, counted: DataFrame, work: Workspace, min_docs:
     return units.groupBy("t").agg(F.count("*").alias("units")).where(F.col("units") >= min_docs).join(often, "t").select("t", "first")
 
 
-def recurring(docs: DataFrame, work: Workspace, min_docs: int, min_tokens: int, varied: bool = False) -> DataFrame:
+def recurring(docs: DataFrame, work: Workspace, min_docs: int, min_tokens: int) -> DataFrame:
     """(id, h, at): the lines to drop of documents (id, h, text)."""
     split = docs.select("id", "h", templates_of(F.col("text")).alias("lines"), _words(F.col("text")).alias("words"))
-    split = split.select("id", "h", "words", F.xxhash64("lines").alias("shape"), "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
-    around = lambda i: F.xxhash64(F.get("hashes", i - 1), F.lit(0), F.get("hashes", i + 1))
-    side = (lambda i: around(i).alias("around")) if varied else (lambda i: F.lit(0).alias("around"))
+    split = split.select("id", "h", "words", F.xxhash64("lines").alias("shape"), "lines")
     # outer: Spark would else filter on the lines before and template every text twice
-    each = split.select("id", "h", "shape", "words", F.inline_outer(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"), side(i)))))
+    each = split.select("id", "h", "shape", "words", F.inline_outer(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line")))))
     each = each.withColumn("size", _count(F.col("line"))).where(F.col("size") >= min_tokens)
-    facts = ["shape", "around"] if varied else ["shape", "words", "size"]
-    each = each.select("id", "h", "at", F.xxhash64("line").alias("t"), _leaf(F.col("line")).alias("leaf"), *facts, "line")
+    facts = ["shape", "words", "size"]
+    each = each.select("id", "h", "at", _named(F.concat(F.lit("L"), "line")).alias("t"), _leaf(F.col("line")).alias("leaf"), *facts, "line")
     each = work.keep(each, "lines")
     general = work.keep(_general(each.where(_count(F.col("line")) > LEADING), work), "general")
     named = each.join(general, "t", "left").select("id", "h", "at", *facts, F.coalesce("general", "t").alias("t"))
     named = work.keep(named, "named")
     counted = named.groupBy("t", "shape").agg(F.min("id").alias("first")).groupBy("t").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    if varied:
-        contexts = named.select("t", "around").distinct().groupBy("t").agg(F.count("*").alias("contexts"))
-        often = counted.where(F.col("n") >= min_docs).join(contexts, "t").where("2 * contexts >= n").select("t", "first")
-    else:
-        often = _unrelated(named, work.keep(counted.where(F.col("n") >= min_docs), "counted"), work, min_docs)
+    often = _unrelated(named, work.keep(counted.where(F.col("n") >= min_docs), "counted"), work, min_docs)
     return named.join(often, "t").where("id <> first").select("id", "h", "at")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, varied: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc, text, n_lines, n_dropped): the row as it was, its text without boilerplate."""
     work = Workspace(docs.sparkSession, "templates")
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    drop = recurring(whole.select("id", "h", "text"), work, min_docs, min_tokens, varied)
+    drop = recurring(whole.select("id", "h", "text"), work, min_docs, min_tokens)
     drop = work.keep(drop.groupBy("id", "h").agg(F.collect_set("at").alias("drop")), "drop")
     rows = whole.join(drop.hint("shuffle_hash"), ["id", "h"], "left")
     lines = F.split("text", "\n", -1)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+from chainmark.llm.queries import QUERIES
+
 from .test_templates import dropped
 
 WORDS = [a + b for a in "bcdfghjklm" for b in ("ane", "ilo", "orra")]
@@ -34,3 +38,10 @@ def test_edited_copies_count_once(spark: SparkSession) -> None:
     assert all(found[i][:1] == (text.removesuffix(f"\n{line}"),) for i, text in copies)
     alone = dropped(spark, [(i, text.removesuffix(f"\n{line}")) for i, text in copies])
     assert all(x[2] == 0 for x in alone.values())
+
+
+def test_the_registered_query_drops_whole_footers(spark: SparkSession, tmp_path: Path) -> None:
+    footer = "follow us for more news\nsubscribe to our letter now\nall content is our own"
+    spark.createDataFrame([(i, f"{own(i)}\n{footer}") for i in range(6)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.n_dropped for r in QUERIES["op5_lines"](spark, f"file://{tmp_path}").collect()}
+    assert found == {0: 0} | dict.fromkeys(range(1, 6), 3)
