@@ -1,6 +1,6 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
 A text is cut into overlapping windows; each window is compressed with both,
 and how much shorter the toxic dictionary makes it is the window's advantage.
 A logistic model over the largest advantages and the shares of windows above
@@ -12,8 +12,13 @@ before it in its word. A stretch shared with a dictionary then saves a multiple
 of its length, while chance matches of single letters save nothing. Every
 window ends in a run of zeros, so that zstandard never stores it raw.
 
-A dictionary's words are chosen greedily to cover the training texts of its
-class (as dictionary builders do), by how much more often they occur there.
+Both dictionaries come from ``zstandard.train_dictionary``. The ordinary one is
+trained on words of ordinary texts. The toxic one has two trained parts: the
+same ordinary part, as toxic texts consist of ordinary words too and what both
+dictionaries know must cancel, and a part trained on all occurrences of words
+that are over-represented in toxic texts (a stem of theirs lies in at least
+SHARE of these texts, with log odds above ODDS). How much of it enters is for
+the trainer to decide; no list is cut.
 
 Training takes at most TRAIN_ROWS labelled rows of each class, those with the
 least hash of their id, with texts of at most TRAIN_CHARS characters. Scores
@@ -28,6 +33,7 @@ the training rows every score is the share of label 1 among them (0 if none).
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -42,7 +48,9 @@ from pyspark.sql import functions as F
 
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
 SPAN, STEP, PAD = 64, 48, 16
-DICTIONARY_BYTES = 600
+#: Bytes of a trained part (codes, four a letter), and the most words it is trained on.
+DICTIONARY_BYTES, SAMPLES = 32_768, 400_000
+SHARE, ODDS = 0.03, 3.5
 THRESHOLD = 0.3
 _TOP, _COUNTS, _SHARES = (0, 1, 2, 4), (6, 9, 12, 16, 20), (9, 12, 16)
 _U = np.uint64
@@ -81,11 +89,9 @@ class Model:
     prior: float = 0.0
 
 
-def _compressor(words: bytes) -> zs.ZstdCompressor:
-    """words: space-led words, the most useful first; zstandard favours a dictionary's end."""
-    parts = [b" " + w for w in words.split(b"\n") if w]
-    content = b"".join(units(np.frombuffer(w, np.uint8)).tobytes() for w in reversed(parts)) or bytes(8)
+def _compressor(content: bytes) -> zs.ZstdCompressor:
     options = zs.ZstdCompressionParameters.from_level(3, source_size=(SPAN + PAD) * 4, dict_size=len(content), write_content_size=False, write_dict_id=False)
+    # as content: entropy tables would make letters themselves cheaper on one side
     dictionary = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=options)
     return zs.ZstdCompressor(compression_params=options, dict_data=dictionary)
@@ -157,64 +163,52 @@ def scorer(model: Model) -> Callable[[pa.Array], np.ndarray]:
     return score
 
 
-def _distinct(rows: list[str]) -> list[str]:
-    """Without texts that begin or end like an earlier one, which would count its words twice."""
-    seen: set[tuple[str, ...]] = set()
-    out = []
-    for text in rows:
-        words = text.split()
-        ends = {("<", *words[:5]), (">", *words[-5:])}
-        if not ends & seen:
-            out.append(text)
-        seen |= ends
-    return out
+def _words(text: str) -> list[bytes]:
+    return [w.strip(b".,;:!?\"'") for w in text.lower().encode().split()]
 
 
 def _stems(text: str) -> set[bytes]:
     out = set()
-    for word in {w.strip(b".,;:!?\"'") for w in text.lower().encode().split()}:
+    for word in set(_words(text)):
         out.update(word[:n] for n in range(4, min(len(word), 12) + 1))
         out.add(word + b" ")
     return out
 
 
-def _cover(mine: list[set[bytes]], others: list[set[bytes]], share: float, odds: float) -> bytes:
-    """Words that cover the texts of a class, each text by up to three, the best first."""
-    inside, outside = Counter(s for x in mine for s in x), Counter(s for x in others for s in x)
-    least = max(3, math.ceil(share * len(mine)))
-    worth = {}
-    for s, n in inside.items():
-        if n >= least:
-            lead = math.log((n + 0.5) / (len(mine) + 1)) - math.log((outside[s] + 0.5) / (len(others) + 1))
-            if lead > odds:
-                worth[s] = lead
-    held = [x & worth.keys() for x in mine]
-    need, gain = [3] * len(mine), Counter(s for x in held for s in x)
-    out: list[bytes] = []
-    while worth and sum(map(len, out)) < DICTIONARY_BYTES:
-        best = max(worth, key=lambda s: (gain[s] * worth[s], len(s), s))
-        if gain[best] < least:
-            break
-        out.append(best)
-        for i, x in enumerate(held):
-            if need[i] and best in x:
-                need[i] -= 1
-                if not need[i]:
-                    gain.subtract(x)
-        for s in [s for s in worth if s.startswith(best) or best.startswith(s)]:
-            del worth[s]
-    return b"\n".join(out)
+def _favoured(mine: list[str], others: list[str]) -> set[bytes]:
+    """Stems over-represented in the texts of a class."""
+    inside, outside = Counter(s for t in mine for s in _stems(t)), Counter(s for t in others for s in _stems(t))
+    lead = lambda s, n: math.log((n + 0.5) / (len(mine) + 1)) - math.log((outside[s] + 0.5) / (len(others) + 1))
+    return {s for s, n in inside.items() if n >= max(3, math.ceil(SHARE * len(mine))) and lead(s, n) > ODDS}
+
+
+def _trained(words: list[bytes]) -> bytes:
+    """A dictionary of the codes of words; of all of them, the rest repeated, if they are too few to train on."""
+    order = random.Random(1)
+    words = order.sample(words, min(len(words), SAMPLES))
+    samples = [units(np.frombuffer(b" " + w + b" ", np.uint8)).tobytes() for w in words]
+    try:
+        return zs.train_dictionary(DICTIONARY_BYTES, samples, k=48, d=8, steps=4).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[-DICTIONARY_BYTES:] or bytes(8)
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary); zstandard favours a dictionary's end, so the toxic part comes last."""
+    stems = _favoured(toxic, ordinary)
+    every = [w for t in toxic for w in _words(t)]
+    own = [w for w in every if w + b" " in stems or any(w[:n] in stems for n in range(4, min(len(w), 12) + 1))]
+    common = _trained([w for t in ordinary for w in _words(t)])
+    return common + _trained(own or every), common
 
 
 def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     """The first half of each class trains dictionaries, the second the calibration."""
-    toxic, ordinary = _distinct(toxic), _distinct(ordinary)
     if not toxic or not ordinary:
         return Model(prior=prior)
     half = lambda x: (x[: (len(x) + 1) // 2], x[(len(x) + 1) // 2 :] or x)
     (first, second), (other, rest) = half(toxic), half(ordinary)
-    mine, theirs = [_stems(t) for t in first], [_stems(t) for t in other]
-    model = Model(_cover(mine, theirs, 0.015, 3.5), _cover(theirs, mine, 0.015, 3.5), prior=prior)
+    model = Model(*dictionaries(first, other), prior=prior)
     pair = _compressor(model.toxic), _compressor(model.ordinary)
     x = np.concatenate([_features(*part[1:], pair) for part in _slices(pa.array(second + rest, pa.string()))])
     y = np.array([1.0] * len(second) + [0.0] * len(rest))
