@@ -63,16 +63,27 @@ def interval_match(left: DataFrame, right: DataFrame, keys: list[str], left_ts:
     """(left id, right id, n, status): right rows of equal keys within ``hours`` either way.
 
     Exactly one hit is matched, several are quarantined, none is unmatched.
-    Times are cut into buckets as wide as the interval: a row meets its own and
-    the neighbouring ones, so the join is on (keys, bucket), not on keys alone.
+    Times are cut into buckets as wide as the interval; a right row stands in its
+    own and the neighbouring ones. Within (keys, bucket) hits are the difference
+    of two running counts, so no pair of rows is formed.
     """
-    width = int(hours * 3600)
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    bucket = lambda c: F.floor(seconds(c) / width)
-    l = left.select(*keys, F.col(left_id).alias("__l"), seconds(left_ts).alias("__a"), F.explode(F.array(bucket(left_ts) - 1, bucket(left_ts), bucket(left_ts) + 1)).alias("__b"))  # noqa: E741
-    r = right.select(*keys, F.col(right_id).alias("__rid"), seconds(right_ts).alias("__c"), bucket(right_ts).alias("__b"))
-    hits = l.join(r, [*keys, "__b"]).where(F.abs(F.col("__a") - F.col("__c")) <= width)
-    counted = hits.groupBy("__l").agg(F.count("*").alias("n"), F.min("__rid").alias("__rid"))
+    width = int(hours * 3600 * 1_000_000)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    bucket = lambda c: F.floor(micros(c) / width)
+    none = F.lit(None)
+    l = left.select(*keys, F.col(left_id).alias("__l"), none.alias("__rid"), micros(left_ts).alias("__t"), bucket(left_ts).alias("__b"), F.lit(0).alias("__one"))  # noqa: E741
+    around = F.explode(F.array(bucket(right_ts) - 1, bucket(right_ts), bucket(right_ts) + 1))
+    r = right.select(*keys, none.cast(left.schema[left_id].dataType).alias("__l"), F.col(right_id).alias("__rid"), micros(right_ts).alias("__t"), around.alias("__b"), F.lit(1).alias("__one"))
+    cell = Window.partitionBy(*keys, "__b").orderBy("__t")
+    upto = cell.rangeBetween(Window.unboundedPreceding, width)
+    below = cell.rangeBetween(Window.unboundedPreceding, -width - 1)
+    both = l.unionByName(r).withColumns({"__n": F.sum("__one").over(upto) - F.coalesce(F.sum("__one").over(below), F.lit(0)), "__last": F.last("__rid", ignorenulls=True).over(upto)})
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    counted = both.where((F.col("__one") == 0) & F.col("__l").isNotNull() & keyed).select("__l", F.col("__n").alias("n"), F.col("__last").alias("__rid"))
+    # a left id that occurs twice counts the hits of all its rows
+    counted = counted.groupBy("__l").agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") > 0, F.col("__rid"))).alias("__rid"))
     out = left.select(F.col(left_id).alias("__l")).join(counted, "__l", "left")
     n = F.coalesce("n", F.lit(0)).cast("long")
     status = F.when(n == 1, "matched").when(n > 1, "quarantined").otherwise("unmatched")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import expected_value, kelly
+from . import ranges
 
 # Names and limits of the tiers, from the strongest down, and the band against flapping.
 TIERS = (("strong_lean", 0.85), ("clear_lean", 0.70), ("lean", 0.575))
@@ -22,25 +25,25 @@ def stakes(df: DataFrame, period: list[str], order: list[str], p: str, decimal:
     """Adds edge, stake and placed: quarter Kelly until the period's or the team's exposure is used up.
 
     What is placed on a row depends on what was placed before it, on the team
-    and in all, so each period's bets (a week's, sorted) are folded in order.
+    and in all, so each period's bets (a week's, sorted) are settled in order.
     """
     rows = df.withColumns({"edge": expected_value(F.col(p), F.col(decimal)), "stake": kelly(F.col(p), F.col(decimal))})
     if team is None:
         w = Window.partitionBy(*period).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         before = F.coalesce(F.sum("stake").over(w), F.lit(0.0))
         return rows.withColumn("placed", F.greatest(F.lit(0.0), F.least(F.col("stake"), F.lit(weekly) - before)))
-    bet = F.struct(*order, F.coalesce(F.col(team).cast("string"), F.lit("")).alias("__team"), F.col("stake").alias("__stake"), F.struct(*rows.columns).alias("__row"))
-    bets = rows.groupBy(*period).agg(F.sort_array(F.collect_list(bet)).alias("__bets"))
-    none = F.struct(F.lit(0.0).alias("all"), F.create_map().cast("map<string,double>").alias("teams"), F.array().cast("array<double>").alias("placed"))
 
-    def place(a: Column, x: Column) -> Column:
-        used = F.coalesce(F.try_element_at(a["teams"], x["__team"]), F.lit(0.0))
-        now = F.greatest(F.lit(0.0), F.least(x["__stake"], F.lit(weekly) - a["all"], F.lit(per_team) - used))
-        teams = F.map_concat(F.map_filter(a["teams"], lambda k, _: k != x["__team"]), F.create_map(x["__team"], used + now))
-        return F.struct((a["all"] + now).alias("all"), teams.alias("teams"), F.concat(a["placed"], F.array(now)).alias("placed"))
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, used, total, placed = pdf.sort_values(order, kind="stable"), {}, 0.0, []
+        for t, stake in zip(pdf[team].astype(object).where(pdf[team].notna(), ""), pdf["stake"].astype(float), strict=True):
+            now = max(0.0, min(stake, weekly - total, per_team - used.get(t, 0.0)))
+            total, used[t] = total + now, used.get(t, 0.0) + now
+            placed.append(now)
+        return pdf.assign(placed=placed)
 
-    folded = bets.select(F.explode(F.arrays_zip(F.col("__bets"), F.aggregate("__bets", none, place, lambda a: a["placed"]).alias("placed"))).alias("z"))
-    return folded.select("z.__bets.__row.*", F.col("z.placed").alias("placed"))
+    # one period's bets are one group; each is placed in constant time
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.groupBy(*period).applyInPandas(settle, f"{schema}, placed double")
 
 
 def best_price(df: DataFrame, keys: list[str], decimal: str, order: str) -> DataFrame:
@@ -81,17 +84,30 @@ def held_tier(p: Column, previous: Column) -> Column:
     return out.otherwise(raw)
 
 
+NAMES = (BOTTOM, *(name for name, _ in reversed(TIERS)))
+
+
+def _next_tiers(p: np.ndarray) -> np.ndarray:
+    """Tier number after each p, from each tier number and, last, from none."""
+    limits = np.array([least for _, least in reversed(TIERS)])
+    raw = (p[:, None] >= limits).sum(axis=1)
+    out = np.repeat(raw[:, None], len(NAMES) + 1, axis=1)
+    for i, least in enumerate(limits, 1):
+        held = p >= round(least - BAND, 9)
+        out[:, i] = np.where(held, np.maximum(raw, i), raw)
+    out[:, 0] = np.where(p < round(limits[0] + BAND, 9), 0, raw)
+    return out
+
+
 def tier_history(df: DataFrame, keys: list[str], order: list[str], p: str) -> DataFrame:
     """Adds tier with hysteresis, row by row in ``order``; rows without ``p`` are left out.
 
-    Each key's rows (the publications of one game) are one array, folded in order.
+    The rule of ``held_tier`` has as many states as tiers, so a key's rows are
+    folded in range parts, however many there are.
     """
-    one = F.struct(*order, F.col(p).cast("double").alias("__p"), F.struct(*df.columns).alias("__row"))
-    rows = df.where(F.col(p).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("__rows"))
-    step = lambda a, x: F.concat(a, F.array(held_tier(x["__p"], F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("none")))))
-    tiers = F.aggregate("__rows", F.array().cast("array<string>"), step)
-    each = rows.select(F.explode(F.arrays_zip(F.col("__rows"), tiers.alias("tier"))).alias("z"))
-    return each.select("z.__rows.__row.*", F.col("z.tier").alias("tier"))
+    rows = df.where(F.col(p).isNotNull()).withColumn("__p", F.col(p).cast("double"))
+    found = ranges.fold(rows, keys, order, "__p", len(NAMES), _next_tiers, "__tier")
+    return found.withColumn("tier", F.get(F.array(*map(F.lit, NAMES)), F.col("__tier"))).select(*df.columns, "tier")
 
 
 def graded(publishes: DataFrame, games: DataFrame, game: str, ts: str, kickoff: str, precedence: str) -> DataFrame:

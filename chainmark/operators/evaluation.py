@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from . import ranges
 
 # Normal quantiles of the usual central intervals, the plausibility limit, the usual two-way price.
 LEVELS = {0.5: 0.6744897501960817, 0.8: 1.2815515655446004, 0.9: 1.6448536269514722, 0.95: 1.959963984540054}
@@ -93,13 +94,13 @@ def economics(df: DataFrame, by: list[str], order: list[str], stake: str, profit
     """(by, bets, roi, final, max_drawdown, sharpe): a bankroll of one under stakes that are shares of it.
 
     ``profit`` is the profit of a unit staked. The bankroll is a running product,
-    kept as a sum of logarithms in one window.
+    kept as a sum of logarithms over range parts.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     gain = F.col(stake) * F.col(profit)
-    rows = df.where(gain > -1).withColumn("__g", gain).withColumn("__b", F.exp(F.sum(F.log1p("__g")).over(w)))
-    rows = rows.withColumn("__peak", F.greatest(F.lit(1.0), F.max("__b").over(w)))
-    out = rows.groupBy(*by).agg(F.count("*").alias("bets"), (F.sum(gain) / F.sum(stake)).alias("roi"), F.max_by("__b", F.struct(*order)).alias("final"), F.max(1 - F.col("__b") / F.col("__peak")).alias("max_drawdown"), F.try_divide(F.avg("__g"), F.stddev_samp("__g")).alias("sharpe"))
+    rows = df.where(gain > -1)
+    sums = rows.groupBy(*by).agg(F.count("*").alias("bets"), (F.sum(gain) / F.sum(stake)).alias("roi"), F.try_divide(F.avg(gain), F.stddev_samp(gain)).alias("sharpe"))
+    walked = ranges.path(rows, by, order, F.log1p(gain)).select(*by, F.exp("final").alias("final"), (1 - F.exp(-F.col("fall"))).alias("max_drawdown"))
+    out = sums.join(walked, by).select(*by, "bets", "roi", "final", "max_drawdown", "sharpe")
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from . import inference
+from . import inference, ranges
 from .distribution import once
 
 
@@ -63,7 +63,7 @@ def chance_band(df: DataFrame, prediction: str, label: str, key: str, replicates
     """
     rows = df.select(prediction, label, key)
     n = rows.count()
-    own = rows.withColumn("__i", F.row_number().over(Window.orderBy(key)) - 1)  # the audit's sample, not the table
+    own = ranges.numbered(rows, [], [key], "__i")
     moved = own.select(F.col("__i").alias("__j"), F.col(label).alias("__y"))
     reps = own.select("__i", prediction, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
     shift = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"))), 1, 8), 16, 10).cast("long") % max(1, n - 1) + 1

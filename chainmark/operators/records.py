@@ -131,9 +131,13 @@ def reconcile(left: DataFrame, right: DataFrame, game: str, book: str, value: st
 def consensus(df: DataFrame, keys: list[str], book: str, value: str, row: str) -> DataFrame:
     """(keys, line, n_books, source_row): the median and the first row (by book, id) that quotes it, null if none does."""
     lines = df.where(F.col(value).isNotNull())
-    middle = lines.groupBy(*keys).agg(F.median(value).alias("line"), F.countDistinct(book).alias("n_books"), F.sort_array(F.collect_list(F.struct(book, row, F.col(value).cast("double").alias("__v")))).alias("__rows"))
-    hit = F.filter("__rows", lambda r: r["__v"] == F.col("line"))
-    return middle.select(*keys, "line", "n_books", F.get(hit, 0)[row].alias("source_row"))
+    middle = lines.groupBy(*keys).agg(F.median(value).alias("line"), F.countDistinct(book).alias("n_books"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    side = middle.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("line").alias("__m"))
+    hits = lines.join(side, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]).where(F.col(value).cast("double") == F.col("__m"))
+    first = hits.groupBy(*names).agg(F.min(F.struct(F.col(book).isNotNull(), book, row))[row].alias("source_row"))
+    met = middle.join(first, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], "left")
+    return met.select(*keys, "line", "n_books", "source_row")
 
 
 def nth_of_season(keys: list[str], season: str, order: list[str]) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, half_life: float, name: str = "ewma") -> DataFrame:
     """One row a key: s1 = x1, s = a x + (1 - a) s with a = 1 - 0.5 ** (1 / half_life).
@@ -63,10 +65,10 @@ def streak_alarm(df: DataFrame, keys: list[str], order: list[str], z: str, limit
 
 def drawdown(df: DataFrame, keys: list[str], order: list[str], change: str, start: float) -> DataFrame:
     """(keys, final, max_drawdown) of a running balance."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("__b", F.lit(float(start)) + F.sum(change).over(w)).withColumn("__peak", F.greatest(F.lit(float(start)), F.max("__b").over(w)))
+    rows = ranges.running(df, keys, order, {"__b": F.col(change)}).withColumn("__b", F.lit(float(start)) + F.col("__b"))
+    peaks = ranges.highest(rows, keys, order, "__b", float(start), "__peak")
     last = F.max_by("__b", F.struct(*order))
-    return rows.groupBy(*keys).agg(last.alias("final"), F.max((F.col("__peak") - F.col("__b")) / F.col("__peak")).alias("max_drawdown"))
+    return peaks.groupBy(*keys).agg(last.alias("final"), F.max((F.col("__peak") - F.col("__b")) / F.col("__peak")).alias("max_drawdown"))
 
 
 def zscore(value: str, keys: list[str]) -> Column:
@@ -105,8 +107,6 @@ def mode_smallest(df: DataFrame, keys: list[str], value: str, name: str = "mode"
 
 def permute_in_group(df: DataFrame, keys: list[str], value: str, row: str, seed: str, name: str = "permuted") -> DataFrame:
     """Values dealt anew within each key; the order comes from md5, so any engine can repeat it."""
-    own = Window.partitionBy(*keys).orderBy(row)
-    dealt = Window.partitionBy(*keys).orderBy(F.md5(F.concat(F.lit(seed), F.col(row).cast("string"))), row)
-    a = df.withColumn("__i", F.row_number().over(own))
-    b = df.select(*keys, F.col(value).alias(name), F.row_number().over(dealt).alias("__i"))
-    return a.join(b, [*keys, "__i"]).drop("__i")
+    a = ranges.numbered(df, keys, [row], "__i")
+    b = ranges.numbered(df.select(*keys, F.col(value).alias(name), F.md5(F.concat(F.lit(seed), F.col(row).cast("string"))).alias("__h"), F.col(row).alias("__r")), keys, ["__h", "__r"], "__i")
+    return a.join(b.drop("__h", "__r"), [*keys, "__i"]).drop("__i")
