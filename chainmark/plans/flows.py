@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators import quality
 from ..sources import payloads
-from ..sources.store import Store, TableSpec, scratch
+from ..sources.store import Store, TableSpec, delete_on_exit, scratch
 from ..streaming import captures
-from .registry import query, r6, table
+from ..streaming import ratings as streaming
+from .analytics import _games
+from .registry import SQL, query, r6, table
 
 ORDERS = TableSpec("orders_by_year", "o_orderkey long, o_custkey long, price double, version int, season int", ("season",), ("season", "o_orderkey"))
 
@@ -131,3 +133,15 @@ def stream_into_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     for late in (rows.where("hour(ts) >= 12"), rows):
         captures.into_store(late, store, LATEST.name, F.struct("ts", "event_id"))
     return store.read(LATEST.name).select("user_id", "ts", "event_id")
+
+
+@query(SQL["elo_fold"])
+def stream_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that arrive in hashed order, in four batches: the ratings are those of the ordered fold."""
+    at = f"{scratch(spark)}/results-{uuid.uuid4().hex}"
+    delete_on_exit(spark, at)
+    games = _games(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).select("league", "game", "ts", "season", "home", "away", "margin", "neutral")
+    games.repartition(4, F.xxhash64(F.lit("arrival"), "game")).write.option("maxRecordsPerFile", 1_000_000).parquet(at)
+    stream = spark.readStream.schema(games.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    found = captures.drain(streaming.elo_stream(stream, "36500 days"), "update", ["league", "game"])
+    return found.select("game", *[r6(c).alias(c) for c in ("home_before", "away_before", "p_home", "home_after", "away_after")])
