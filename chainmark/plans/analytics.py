@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import asof, betting, distribution, efficiency, inference, quality, ratings, windows
-from .registry import query, r6, table
+from .registry import SQL, query, r6, table
 
 
 @query("""
@@ -91,9 +91,24 @@ def elo_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("game", *[r6(c).alias(c) for c in ("home_before", "away_before", "p_home", "home_after", "away_after")])
 
 
-@query()
+# as elo_fold's recursion, for every point of the grid
+_TUNED = (
+    SQL["elo_fold"]
+    .replace("s AS (\n        SELECT league,", "grid AS (SELECT CAST(k AS DOUBLE) AS k, CAST(f AS DOUBLE) AS f FROM (VALUES (20), (30), (40)) AS x(k), (VALUES (2.2), (2.8)) AS y(f)),\n    s AS (\n        SELECT league, k, f,")
+    .replace("FROM (SELECT DISTINCT league FROM g)", "FROM (SELECT DISTINCT league FROM g), grid")
+    .replace("CAST(NULL AS DOUBLE) AS shift", "CAST(NULL AS DOUBLE) AS shift, CAST(NULL AS INTEGER) AS margin")
+    .replace("SELECT league, i, list_transform(r, lambda x, j:", "SELECT league, k, f, i, list_transform(r, lambda x, j:")
+    .replace("game, a, b, p, shift\n        FROM (SELECT *, CASE", "game, a, b, p, shift, margin\n        FROM (SELECT *, CASE")
+    .replace("30 * (0.5 - p)", "k * (0.5 - p)").replace("30 * ln(", "k * ln(").replace("* 2.8 /", "* f /").replace("* 0.001 + 2.8)", "* 0.001 + f)")
+    .replace("FROM (SELECT g.*, CASE", "FROM (SELECT g.*, s.k, s.f, CASE")
+)
+_TUNED = _TUNED[: _TUNED.rindex("SELECT game, round(a, 6)")] + "SELECT k, f AS factor, count(*) AS n, round(avg(-ln(greatest(1e-15, CASE WHEN margin > 0 THEN p ELSE 1 - p END))), 6) AS log_loss FROM s WHERE i > 0 AND margin <> 0 GROUP BY ALL"
+
+
+@query(_TUNED)
 def elo_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.elo_grid(_games(spark, sf_dir), [20, 30, 40], [2.2, 2.8])
+    found = ratings.elo_grid(_games(spark, sf_dir), [20, 30, 40], [2.2, 2.8])
+    return found.select("k", "factor", "n", r6("log_loss").alias("log_loss"))
 
 
 @query()
