@@ -55,3 +55,8 @@ def slot_close(kickoff: Column, minutes: int = 5) -> Column:
 def feature_as_of(kickoff: Column, week_decision: Column, candidates: Column) -> Column:
     """The week's decision where it lies strictly before kickoff, else the latest candidate that does, else null."""
     return F.when(week_decision < kickoff, week_decision).otherwise(F.array_max(F.filter(candidates, lambda c: c < kickoff)))
+
+
+def tolerance_minutes(at: Column, changed: str = "2022-09-01", before: int = 10, after: int = 5) -> Column:
+    """Minutes that a snapshot may be old at a decision: intervals were longer before ``changed``. The date and both lengths."""
+    return F.when(at < F.lit(changed).cast("timestamp_ntz"), before).otherwise(after)

@@ -29,3 +29,9 @@ def uuid5(namespace: str, name: Column) -> Column:
     raw = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(raw, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
     return F.concat_ws("-", F.substring(raw, 1, 8), F.substring(raw, 9, 4), F.concat(F.lit("5"), F.substring(raw, 14, 3)), F.concat(variant, F.substring(raw, 18, 3)), F.substring(raw, 21, 12))
+
+
+def pair_hash(pairs: dict[str, Column]) -> Column:
+    """12 hexadecimal digits of a row's (name, value) pairs, sorted by name; values with six digits after the point."""
+    each = [F.concat(F.lit(f"{n}="), F.coalesce(F.format_string("%.6f", pairs[n].cast("double")), F.lit("null"))) for n in sorted(pairs)]
+    return F.substring(F.sha2(F.concat_ws("\n", *each), 256), 1, 12)

@@ -221,3 +221,12 @@ def bonferroni_gate(df: DataFrame, by: list[str], p: str, alpha: float = 0.05) -
     """Adds the corrected limit of each family and whether all its members pass."""
     w = Window.partitionBy(*by)
     return df.withColumn("limit", alpha / F.count("*").over(w)).withColumn("promoted", F.bool_and(F.col(p) <= F.col("limit")).over(w))
+
+
+def rates(df: DataFrame, by: list[str], hit: Column, z: float = 1.959963984540054) -> DataFrame:
+    """(by, n, rate): rate is a struct (value, low, high) by Wilson, so it cannot be had without its bounds."""
+    sums = df.where(hit.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("__r"))
+    n, r = F.col("n"), F.col("__r")
+    middle, half = r + z * z / (2 * n), z * F.sqrt(r * (1 - r) / n + z * z / (4 * n * n))
+    scale = 1 + z * z / n
+    return sums.select(*by, "n", F.struct(r.alias("value"), ((middle - half) / scale).alias("low"), ((middle + half) / scale).alias("high")).alias("rate"))

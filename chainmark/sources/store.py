@@ -113,8 +113,14 @@ class Store:
         rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spec(name).schema])
         self.overwrite(self._touched(rows, name).select(*rows.columns).unionByName(rows).distinct(), name)
 
-    def overwrite(self, df: DataFrame, name: str) -> None:
-        """Replaces the partitions that ``df`` has rows for; a null partition value is refused."""
+    def overwrite(self, df: DataFrame, name: str, compare: bool = False) -> bool:
+        """Replaces the partitions that ``df`` has rows for; a null partition value is refused.
+
+        With ``compare`` nothing is written if they hold these rows already;
+        returns whether it wrote.
+        """
+        if compare and self.same(df, name):
+            return False
         spec = self.spec(name)
         rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema])
         for c in spec.partition:
@@ -122,6 +128,7 @@ class Store:
         # rows of a partition spread over several files if there are many
         rows = rows.repartition(*spec.partition, F.pmod(F.xxhash64(*spec.key), F.lit(4))).sortWithinPartitions(*spec.partition, *spec.key)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*spec.partition).parquet(self._path(name))
+        return True
 
     def upsert(self, df: DataFrame, name: str, newest: Column) -> None:
         """Rows of ``df`` replace those of equal key; among several the greatest ``newest`` stays.
@@ -145,7 +152,8 @@ class Store:
         """Upserts rows that keep the rules; the others go to the table's quarantine, never away."""
         good, bad = quality.split(df, rules)
         self.upsert(good.select(*df.columns), name, newest)
-        bad.withColumn("origin", F.lit(origin)).write.mode("append").parquet(f"{self.root}/_quarantine/{name}")
+        # an origin's rows replace those of an earlier run of it
+        bad.withColumn("origin", F.lit(origin)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("origin").parquet(f"{self.root}/_quarantine/{name}")
 
     def quarantined(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/_quarantine/{name}")
