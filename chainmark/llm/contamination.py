@@ -23,7 +23,8 @@ Defined cases: null or wordless texts have no words, no hits and are not
 contaminated; a wordless item or one with a null id has no window; rows of
 ``benchmark`` that share an id are one item; repeated documents are judged one
 by one (equal texts are searched alike and each row gets the result). Empty
-tables give no rows or no hits.
+tables give no rows or no hits. Texts are read a few megabytes at a time, a
+longer one by itself; other columns stay in ``doc``, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ least half lie in units that match a template.
 Defined cases: null text has no units; a null path has no directory and
 inherits nothing; among equal cosines (to four digits) the smallest identifier
 wins; repeated rows are one file and each get its result; an empty table gives
-no rows.
+no rows. Texts of any length are split whole, in the engine; columns other than
+the path and the text are not read, whatever their names.
 """
 
 from __future__ import annotations

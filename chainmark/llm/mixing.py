@@ -14,6 +14,8 @@ most BUCKET, so no bucket grows with a hot id.
 Defined cases: null text has size 0 and takes nothing; a null source is a
 source of its own, ranked last; repeated rows and null ids are rows like any
 other; an empty table gives no rows. Ties are ordered by hash, so reruns agree.
+Texts of any length are only counted; columns other than id, text and source are
+not read, whatever their names.
 """
 
 from __future__ import annotations

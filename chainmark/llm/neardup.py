@@ -21,7 +21,9 @@ is missed. Pairs of similarity 0.75 share no band once in about 190,000 cases.
 Defined cases: null or wordless texts have the empty set, are linked with
 nothing and kept; texts of fewer words than a shingle are one shingle; rows
 with a null id are linked with nothing, have no component and are kept; rows
-that share an id are one node. An empty table gives no rows.
+that share an id are one node. An empty table gives no rows. Texts are read a few
+megabytes at a time, a longer one by itself; columns other than the id and the
+text are not read, whatever their names.
 """
 
 from __future__ import annotations

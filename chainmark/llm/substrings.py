@@ -29,7 +29,9 @@ a span that step 6 then refuses, and never removes words that differ.
 Defined cases: null texts have no words; a null id ranks after all others, so
 it is never a source for another row; rows that share an id never remove each
 other's words and are judged one by one; rows that share id and text are
-handled once and each get the result; an empty table gives no rows.
+handled once and each get the result; an empty table gives no rows. Columns other
+than the id and the text are not read, whatever their names. Texts of any length
+are cut whole; a task's memory follows the longest text it holds.
 """
 
 from __future__ import annotations

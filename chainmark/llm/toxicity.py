@@ -28,6 +28,9 @@ Defined cases: null text counts as empty and gets a score like any other;
 labels that are null, neither 0 nor 1, or of unknown documents train nothing;
 rows with a null id are scored and never held out; without both classes among
 the training rows every score is the share of label 1 among them (0 if none).
+Texts are scored whole, a few megabytes at a time, a longer one by itself; texts
+longer than TRAIN_CHARS train nothing; other columns stay in ``doc``, whatever
+their names.
 """
 
 from __future__ import annotations

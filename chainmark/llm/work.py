@@ -43,6 +43,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.at = f"{root(spark)}/chainmark/{name}-{uuid.uuid4().hex}"
+        self._leaves = False
 
     def path(self, table: str) -> str:
         return f"{self.at}/{table}"
@@ -55,8 +56,16 @@ class Workspace:
             df.write.option("compression", "zstd").mode("overwrite").parquet(path)
         finally:
             conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        self._delete_on_exit()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete_on_exit(self) -> None:
+        """The folder goes when the session's process ends; frames that are returned may read it until then."""
+        if not self._leaves:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+            self._leaves = True
+
     def drop(self, table: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(table))
