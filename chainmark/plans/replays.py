@@ -16,6 +16,8 @@ from .registry import SQL, query, r6, table
 
 def _ledger(spark: SparkSession) -> Ledger:
     at = f"{scratch(spark)}/ledger-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     delete_on_exit(spark, at)
     return Ledger(spark, at)
 
