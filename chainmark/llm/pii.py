@@ -1,8 +1,9 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Candidates come from one pass of regular expressions: the strict pattern of
-each kind and looser ones (spelt-out mail addresses, numbers without a country
-code, digit runs and dotted quads that fail their check). Labelers vote on
+each kind and looser ones (mail addresses spelt out, in brackets or spaced, dots
+of quads in brackets or spelt out, card digits with other separators, numbers
+without a country code or with 00, digit runs and quads that fail their check). Labelers vote on
 every candidate: its own check (regex), lists of domains, issuers and networks
 (gazetteer), and the words before it and letters beside it (context); a
 labeler may abstain. Candidates reduce to counts of vote patterns, at most
@@ -40,6 +41,15 @@ PATTERNS: tuple[tuple[str, bool, str, str], ...] = (
     ("card", True, r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", True, r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
     ("email", False, r"[\x20(\[][dD][oO][tT][\x20)\]]", rf"(?<!{_LOCAL}){_LOCAL}++\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?{_DOMAIN}++\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{{2,12}}(?![A-Za-z])"),
+    # an address with one of its two signs spelt out or in brackets, or with blanks around the sign
+    ("email", False, r"[(\[{]\x20?[aA][tT]\x20?[)\]}]", rf"(?<!{_LOCAL}){_LOCAL}++\x20?[(\[{{]\x20?[aA][tT]\x20?[)\]}}]\x20?{_DOMAIN}++(?:\.{_DOMAIN}++)++"),
+    ("email", False, r"\x20@\x20", rf"(?<!{_LOCAL}){_LOCAL}++\x20@\x20{_DOMAIN}++(?:\.{_DOMAIN}++)++"),
+    # quads with their dots in brackets or spelt out
+    ("ip", False, r"[0-9]\x20?(?:[(\[]\.[)\]]|\x20dot\x20)\x20?[0-9]", r"(?<![0-9.])[0-9]++(?:\x20?(?:\[\.\]|\(\.\)|\x20dot\x20)\x20?[0-9]++){3}(?![0-9])"),
+    # groups of card digits with other separators than one blank or dash
+    ("card", False, r"[0-9]{4}(?:[./_*]|\x20-\x20|\x20\x20)[0-9]{4}", r"(?<![0-9])[0-9]{4}(?:(?:[./_*]|\x20-\x20|\x20\x20)[0-9]{4}){3}(?:[./_*]?[0-9]{1,3})?(?![0-9])"),
+    # international numbers that begin with 00
+    ("phone", False, r"00[\x20.-]?[1-9]", r"(?<![0-9A-Za-z_+.,-])00[\x20.-]?[1-9][0-9]{0,2}(?:[\x20.-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])"),
     ("phone", False, r"[0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 )
 
@@ -83,12 +93,13 @@ def _luhn(digits: Column) -> Column:
 
 
 def passes() -> Column:
-    """Whether a candidate of its kind's strict pattern passes its check."""
+    """Whether a candidate passes its kind's check."""
     n = F.length(_digits())
     part = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+    quad = F.regexp_replace("value", r"[^0-9]+", ".")
     return (
         F.when(F.col("kind") == "email", True)
-        .when(F.col("kind") == "ip", F.col("value").rlike(rf"^{part}\.{part}\.{part}\.{part}$"))
+        .when(F.col("kind") == "ip", quad.rlike(rf"^{part}\.{part}\.{part}\.{part}$"))
         .when(F.col("kind") == "card", F.when(n.between(13, 19), _luhn(_digits())).otherwise(False))
         .otherwise(n.between(9, 15))
     )
@@ -97,12 +108,13 @@ def passes() -> Column:
 def votes() -> dict[str, Column]:
     """1 for, 0 against, null for abstaining."""
     kind, value, digits = F.col("kind"), F.lower("value"), _digits()
-    regex = F.when(F.col("strict"), F.col("fine").cast("int")).when(kind == "phone", F.length(digits).between(9, 15).cast("int"))
+    # a loose address has nothing to check
+    regex = F.when(F.col("strict") | (kind != "email"), F.col("sound").cast("int"))
     gazetteer = (
         F.when(kind == "email", value.rlike(rf"(?:\.|dot[)\]]?\x20?)(?:{_DOMAINS})$").cast("int"))
         .when(kind == "card", digits.rlike(rf"^(?:{_ISSUERS})").cast("int"))
         .when(kind == "ip", F.when(value.rlike(r"^(?:0|127|255)\."), 0))
-        .otherwise(F.when(value.rlike(rf"^\+(?:{_CODES})(?![0-9]{{12}})"), 1).when(digits.rlike(r"^(?:000|123456|(.)\1+$)"), 0))
+        .otherwise(F.when(value.rlike(rf"^(?:\+|00[\x20.-]?)(?:{_CODES})(?![0-9]{{12}})"), 1).when(digits.rlike(r"^(?:000|123456|(.)\1+$)"), 0))
     )
     cue = F.lit(False)
     for k, words in _CUES.items():
@@ -168,25 +180,28 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trust: flo
     spark = docs.sparkSession
     work = Workspace(spark, "pii")
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.lit(1), F.col(doc_id), text).alias("id"), F.xxhash64(F.lit(2), text, F.col(doc_id)).alias("h"), F.col(text).alias("text"))
-    found = candidates(keyed.select("id", "h", "text")).withColumn("fine", F.col("strict") & passes())
+    found = candidates(keyed.select("id", "h", "text")).withColumn("sound", passes()).withColumn("fine", F.col("strict") & F.col("sound"))
     shape = {"size": F.least(F.length("value") / 6, F.lit(4)).cast("int"), "spaced": F.col("value").contains(" ").cast("int")}
     found = work.keep(found.withColumns(votes() | shape).drop("before", "after"), "candidates")
     pattern = ["kind", "regex", "gazetteer", "context", "size", "spaced"]
     # at most 4 * 27 * 10 patterns, whatever the corpus
     counts = found.groupBy(*pattern).agg(F.count("*").alias("n"), F.count_if("fine").alias("fine")).collect()
     trusted = [key for key, p in _classifier(counts).items() if p >= trust]
-    added = F.lit(False)
-    for key in trusted:
-        hit = F.lit(True)
-        for name, value in zip(pattern, key, strict=True):
-            hit = hit & F.col(name).eqNullSafe(F.lit(value))
-        added = added | hit
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema}
+    table = spark.createDataFrame(trusted, ", ".join(f"t_{c} {kinds[c]}" for c in pattern))
+    on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in pattern]
+    # a row a trusted pattern
+    found = found.join(F.broadcast(table.withColumn("added", F.lit(True))), on, "left")
+    added = F.coalesce("added", F.lit(False))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     chosen = found.where(F.col("fine") | added).select("id", "h", F.struct(rank.alias("rank"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", F.col("fine").alias("strict")).alias("s"))
     spans = F.sort_array(F.collect_set("s"))
     grouped = chosen.groupBy("id", "h").agg(spans.alias("all")).withColumn("strict", F.filter("all", lambda s: s["strict"]))
     apart = lambda s: s["strict"] | ~F.exists("strict", lambda b: (b["rank"] == s["rank"]) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    grouped = grouped.select("id", "h", F.filter("all", apart).alias("spans"))
+    grouped = grouped.select("id", "h", F.filter("all", apart).alias("all"))
+    # of added spans that overlap the first stays, of those that begin together the longest
+    hides = lambda b, x: (b["rank"] == x["rank"]) & (b["start"] < x["end"]) & (x["start"] < b["end"]) & ((b["start"] < x["start"]) | ((b["start"] == x["start"]) & (b["end"] > x["end"])))
+    grouped = grouped.select("id", "h", F.filter("all", lambda x: x["strict"] | ~F.exists("all", lambda b: hides(b, x))).alias("spans"))
     none = F.array().cast(grouped.schema["spans"].dataType)
     return keyed.select("doc_id", "id", "h").join(grouped, ["id", "h"], "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
