@@ -147,7 +147,7 @@ SQL: dict[str, str] = {
             SELECT d.n, d.lead, d.line FROM distinct_ d JOIN sized s USING (n, lead) JOIN constant k USING (n, lead)
             WHERE 4 * s.c >= 3 * d.n GROUP BY d.n, d.lead, d.line, s.c HAVING count(*) FILTER (d.w[k.p] = k.token) = s.c),
         named AS (
-            SELECT c.r, c.doc_id, c.h, c.p, c.shape, c.words, c.n AS size, CAST('0x' || substring(md5(CASE WHEN f.line IS NULL THEN 'L' || c.line ELSE 'G' || c.n || ' ' || array_to_string(c.lead, ' ') END), 1, 15) AS BIGINT) AS t
+            SELECT c.r, c.doc_id, c.h, c.p, c.shape, c.words, c.n AS size, substring(md5(CASE WHEN f.line IS NULL THEN 'L' || c.line ELSE 'G' || c.n || ' ' || array_to_string(c.lead, ' ') END), 1, 16) AS t
             FROM cut c LEFT JOIN fits f USING (n, lead, line)),
         counted AS (SELECT t, count(DISTINCT shape) AS n, min(doc_id) AS first FROM named GROUP BY t HAVING count(DISTINCT shape) >= 3),
         hits AS (SELECT DISTINCT doc_id, h, p, shape, words, size, t, n FROM named JOIN counted USING (t)),

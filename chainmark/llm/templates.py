@@ -59,8 +59,8 @@ def _leaf(line: Column) -> Column:
 
 
 def _named(text: Column) -> Column:
-    """Number of a template: 60 bits of MD5, so that ties go as any engine breaks them."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    """A template's name: eight bytes of MD5, so that ties go as any engine breaks them."""
+    return F.unhex(F.substring(F.md5(text), 1, 16))
 
 
 def _general(lines: DataFrame, work: Workspace) -> DataFrame:
