@@ -90,7 +90,7 @@ def _unrelated(named: DataFrame, counted: DataFrame, work: Workspace, min_docs:
     votes = hits.select("id", "h", "t").join(names, "t").join(copies, ["id", "h"]).groupBy("t", "rarest").agg(F.count("*").alias("n"))
     group = votes.groupBy("t").agg(F.max(F.struct("n", "rarest"))["rarest"].alias("group"))
     copies = copies.join(group.withColumnRenamed("t", "rarest"), "rarest").select("id", "h", "group")
-    units = hits.join(copies, ["id", "h"], "left").select("t", F.col("group").isNotNull().alias("copy"), F.coalesce("group", "shape").alias("unit")).distinct()
+    units = hits.join(copies, ["id", "h"], "left").select("t", F.col("group").isNotNull().alias("copy"), F.when(F.col("group").isNull(), F.col("shape")).otherwise(F.xxhash64("group")).alias("unit")).distinct()
     return units.groupBy("t").agg(F.count("*").alias("units")).where(F.col("units") >= min_docs).join(often, "t").select("t", "first")
 
 
