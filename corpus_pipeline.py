@@ -80,7 +80,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The first stage has no SQL form; tests hold run() and every stage against plain Python.
+#: The first stage has no SQL form.
 ORACLE_SQL = None
 
 
