@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import normal_cdf
+from ..functions.numbers import normal_cdf, once
 
 #: Margins a distribution covers, and the edges of its buckets of |mu|.
 REACH = 80
@@ -49,11 +49,6 @@ def pmf(mu: Column, sigma: Column, kernel: Column | None = None, reach: int = RE
     return once(once(once(cdf, mass), summed), share)
 
 
-def once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value computed a single time, however often ``then`` names it."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def probability(dist: Column, holds: Callable[[Column], Column]) -> Column:
     """Mass of the outcomes for which ``holds(k)`` is true."""
     return F.aggregate(dist, F.lit(0.0), lambda a, x: a + F.when(holds(x["k"]), x["p"]).otherwise(0.0))

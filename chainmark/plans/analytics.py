@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import asof, betting, distribution, efficiency, inference, quality, ratings, windows
-from .registry import SQL, query, r6, table
+from .registry import SQL, query, r6, spread, table
 
 
 @query("""
@@ -198,7 +198,7 @@ def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def devig_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power and Shin probabilities, found by bisection inside the expression."""
     q, o = F.col("qa"), F.col("qb")
-    return _prices(spark, sf_dir).select("p_partkey", r6(numbers.fair_power(q, o)).alias("power"), r6(numbers.fair_shin(q, o)).alias("shin"))
+    return spread(_prices(spark, sf_dir).select("p_partkey", "qa", "qb"), "p_partkey").select("p_partkey", r6(numbers.fair_power(q, o)).alias("power"), r6(numbers.fair_shin(q, o)).alias("shin"))
 
 
 @query("""
