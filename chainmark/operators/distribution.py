@@ -42,7 +42,7 @@ def pmf(mu: Column, sigma: Column, kernel: Column | None = None, reach: int = RE
     s = F.greatest(sigma, F.lit(1e-8))
     weight = lambda k: F.lit(1.0) if kernel is None else F.coalesce(F.try_element_at(kernel, (k - F.bround(mu)).cast("int")), F.lit(1.0))
     # every edge's distribution function once; each step goes through an array of one, so nothing is computed again inside a lambda
-    cdf = F.transform(F.sequence(F.lit(-reach), F.lit(reach + 1)), lambda k: normal_cdf((k - 0.5 - mu) / s))
+    cdf = F.transform(F.sequence(F.lit(-reach), F.lit(reach + 1)), lambda k: once((k - 0.5 - mu) / s, normal_cdf))
     mass = lambda c: F.transform(F.sequence(F.lit(0), F.lit(2 * reach)), lambda i: (F.get(c, i + 1) - F.get(c, i)) * weight(i - reach))
     share = lambda x: F.transform(x["raw"], lambda m, i: F.struct((i - reach).alias("k"), (m / x["total"]).alias("p")))
     summed = lambda r: F.struct(r.alias("raw"), F.aggregate(r, F.lit(0.0), lambda a, m: a + m).alias("total"))
@@ -60,6 +60,17 @@ def cover(dist: Column, line: Column) -> tuple[Column, Column]:
     return F.try_divide(probability(dist, lambda k: k + line > 0), 1 - push), push
 
 
+def normal_cover(mu: Column, sigma: Column, line: Column, reach: int = REACH) -> tuple[Column, Column]:
+    """``cover`` of ``pmf`` without a kernel: sums over neighbouring whole numbers are differences of two edges."""
+    s = F.greatest(sigma, F.lit(1e-8))
+    cdf = lambda edge: normal_cdf((edge - mu) / s)
+    held = lambda k: F.greatest(F.lit(-reach - 0.5), F.least(F.lit(reach + 0.5), k))
+    total = cdf(F.lit(reach + 0.5)) - cdf(F.lit(-reach - 0.5))
+    push = F.when(line == F.floor(line), F.try_divide(cdf(held(0.5 - line)) - cdf(held(-0.5 - line)), total)).otherwise(0.0)
+    above = F.try_divide(cdf(F.lit(reach + 0.5)) - cdf(held(F.floor(-line) + 0.5)), total)
+    return F.try_divide(above, 1 - push), push
+
+
 def residual_correlation(x: Column, y: Column, limit: float = 0.95) -> Column:
     """Aggregate: Pearson correlation of residuals within limits."""
     return F.greatest(F.lit(-limit), F.least(F.lit(limit), F.coalesce(F.corr(x, y), F.lit(0.0))))

@@ -371,9 +371,9 @@ def grade_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c_custkey, round(sum(q) FILTER (k > 0) / (1 - sum(q) FILTER (k = 0)), 6) AS win, round(sum(q) FILTER (k > 3) / (1 - sum(q) FILTER (k = 3)), 6) AS cover, round(sum(q) FILTER (k = 3), 6) AS push FROM s GROUP BY 1""")
 def margin_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact win, cover and push probabilities of a discretised normal margin."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", distribution.pmf(F.col("c_acctbal") / 1000 - 4, F.lit(14.0)).alias("dist"))
-    win, _ = distribution.cover(F.col("dist"), F.lit(0))
-    cover, push = distribution.cover(F.col("dist"), F.lit(-3))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000 - 4).alias("mu"))
+    win, _ = distribution.normal_cover(F.col("mu"), F.lit(14.0), F.lit(0))
+    cover, push = distribution.normal_cover(F.col("mu"), F.lit(14.0), F.lit(-3))
     return rows.select("c_custkey", r6(win).alias("win"), r6(cover).alias("cover"), r6(push).alias("push"))
 
 

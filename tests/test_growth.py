@@ -23,6 +23,19 @@ def small_parts(monkeypatch: pytest.MonkeyPatch) -> None:
     monkeypatch.setattr(ranges, "ROWS", 50)
 
 
+def test_covers_of_a_normal_margin_need_no_list(spark: SparkSession) -> None:
+    """Differences of edges equal sums over the whole distribution, for whole, half and far lines."""
+    rows = spark.createDataFrame([(m, s) for m in (-90.0, -30.2, 0.0, 2.5, 60.0) for s in (0.5, 14.0)], "mu double, sigma double").where("abs(mu) < 80 or sigma > 1")
+    dist = distribution.pmf(F.col("mu"), F.col("sigma"))
+    for line in (0.0, -3.0, 2.5, 79.0, -95.0):
+        both = zip(distribution.cover(dist, F.lit(line)), distribution.normal_cover(F.col("mu"), F.col("sigma"), F.lit(line)), strict=True)
+        names = [(a.alias(f"a{i}"), b.alias(f"b{i}")) for i, (a, b) in enumerate(both)]
+        for x in rows.select(*[c for pair in names for c in pair]).collect():
+            assert x.b0 == pytest.approx(x.a0, abs=1e-9) and x.b1 == pytest.approx(x.a1, abs=1e-9), line
+    assert "transform" not in plan(QUERIES["margin_distribution"](spark, SF))
+    assert QUERIES["kernel_distribution"](spark, SF).rdd.getNumPartitions() > 1
+
+
 def test_roots_are_found_in_many_tasks(spark: SparkSession) -> None:
     """The table of parts is one block of one file; its rows are dealt out before the bisection."""
     assert QUERIES["devig_roots"](spark, SF).rdd.getNumPartitions() > 1
