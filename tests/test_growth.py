@@ -23,6 +23,13 @@ def small_parts(monkeypatch: pytest.MonkeyPatch) -> None:
     monkeypatch.setattr(ranges, "ROWS", 50)
 
 
+def test_more_rows_make_more_parts(spark: SparkSession, small_parts: None) -> None:
+    rows = ranges.ranged(spark.range(1000).select(F.lit("hot").alias("k"), "id"), ["k"], ["id"])
+    assert rows.select(ranges.PART).distinct().count() >= 15
+    assert max(r["count"] for r in rows.groupBy(ranges.PART).count().collect()) < 200
+    assert ranges.dealt(rows).rdd.getNumPartitions() >= 15
+
+
 def test_covers_of_a_normal_margin_need_no_list(spark: SparkSession) -> None:
     """Differences of edges equal sums over the whole distribution, for whole, half and far lines."""
     rows = spark.createDataFrame([(m, s) for m in (-90.0, -30.2, 0.0, 2.5, 60.0) for s in (0.5, 14.0)], "mu double, sigma double").where("abs(mu) < 80 or sigma > 1")
