@@ -30,6 +30,21 @@ def test_more_rows_make_more_parts(spark: SparkSession, small_parts: None) -> No
     assert ranges.dealt(rows).rdd.getNumPartitions() >= 15
 
 
+def test_tiers_are_folded_by_part_not_by_key(spark: SparkSession, small_parts: None) -> None:
+    """Many short keys and a hot one; a group is a part."""
+    r = random.Random(7)
+    rows = [(k, i, round(0.5 + r.random() / 2, 2)) for k in [None, *range(40)] for i in range(3)] + [(99, i, round(0.5 + r.random() / 2, 2)) for i in range(300)]
+    found = betting.tier_history(spark.createDataFrame(rows, "k long, i long, v double"), ["k"], ["i"], "v")
+    assert "FlatMapCoGroupsInPandas [__part" in plan(found)
+    step, names, want = betting._next_tiers, betting.NAMES, {}
+    for k in {x[0] for x in rows}:
+        now = len(names)
+        for _, i, p in sorted((x for x in rows if x[0] == k), key=lambda x: x[1]):
+            now = int(step(betting.np.array([p]))[0, now])
+            want[k, i] = names[now]
+    assert {(None if x.k is None or x.k != x.k else int(x.k), x.i): x.tier for x in found.collect()} == want
+
+
 def test_covers_of_a_normal_margin_need_no_list(spark: SparkSession) -> None:
     """Differences of edges equal sums over the whole distribution, for whole, half and far lines."""
     rows = spark.createDataFrame([(m, s) for m in (-90.0, -30.2, 0.0, 2.5, 60.0) for s in (0.5, 14.0)], "mu double, sigma double").where("abs(mu) < 80 or sigma > 1")
