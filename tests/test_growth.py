@@ -45,6 +45,27 @@ def test_tiers_are_folded_by_part_not_by_key(spark: SparkSession, small_parts: N
     assert {(None if x.k is None or x.k != x.k else int(x.k), x.i): x.tier for x in found.collect()} == want
 
 
+def test_entity_values_over_parts(spark: SparkSession, small_parts: None) -> None:
+    """Means, weighted means and last-three differences of a hot entity equal plain loops; nulls are no games."""
+    r = random.Random(5)
+    rows = [(k, i, *(None if r.random() < 0.3 else round(r.uniform(-3, 3), 3) for _ in "xy")) for k, n in (("hot", 400), ("a", 2), (None, 3)) for i in range(n)] + [("none", 1, None, 1.5)]
+    found = features.entity_values(spark.createDataFrame(rows, "k string, i long, x double, y double").repartition(5), "k", ["i"], {"x": 6.5, "y": 4.0})
+    # one window within parts, one over parts, whatever the number of measures
+    assert plan(found).split("== Initial Plan ==")[-1].count("Window [") == 2
+    got = {x.k: x for x in found.collect()}
+    for k in {x[0] for x in rows}:
+        for at, m, half in ((2, "x", 6.5), (3, "y", 4.0)):
+            values = [x[at] for x in sorted((x for x in rows if x[0] == k), key=lambda x: x[1]) if x[at] is not None]
+            if not values:
+                assert got[k][f"{m}_std"] is got[k][f"{m}_ewma"] is got[k][f"{m}_l3d"] is None
+                continue
+            a, ewma, mean = 1 - 0.5 ** (1 / half), values[0], sum(values) / len(values)
+            for v in values[1:]:
+                ewma += a * (v - ewma)
+            assert got[k][f"{m}_std"] == pytest.approx(len(values) / (len(values) + 8) * mean)
+            assert got[k][f"{m}_ewma"] == pytest.approx(ewma) and got[k][f"{m}_l3d"] == pytest.approx(sum(values[-3:]) / len(values[-3:]) - mean)
+
+
 def test_covers_of_a_normal_margin_need_no_list(spark: SparkSession) -> None:
     """Differences of edges equal sums over the whole distribution, for whole, half and far lines."""
     rows = spark.createDataFrame([(m, s) for m in (-90.0, -30.2, 0.0, 2.5, 60.0) for s in (0.5, 14.0)], "mu double, sigma double").where("abs(mu) < 80 or sigma > 1")
