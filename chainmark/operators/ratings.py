@@ -1,8 +1,8 @@
 """Team ratings that a season's games update one after the other.
 
-A league is one sequence, so each league is one group: its rows are games
-(thousands), not plays. Leagues, seasons of simulations and points of a tuning
-grid run beside each other; everything that is not sequential stays outside.
+A league is one sequence: its rows are games (thousands), not plays. Some dozens
+of leagues are a group, and groups run beside each other; everything that is not
+sequential stays outside.
 """
 
 from __future__ import annotations
@@ -21,73 +21,103 @@ def elo_expected(difference: Column) -> Column:
     return 1 / (1 + F.pow(F.lit(10.0), -difference / 400))
 
 
-def _elo(pdf: pd.DataFrame, k: float, home: float, factor: float, carry: float, rating: dict[str, float] | None = None, season: int | None = None) -> pd.DataFrame:
-    """``rating`` is what the teams have before the first game; it is left as they have it after the last."""
-    pdf = pdf.sort_values(["ts", "game"], kind="stable")
-    rating = {} if rating is None else rating
-    out = []
-    for g in pdf.itertuples(index=False):
-        if season is not None and g.season != season and rating:
+def _elo(pdf: pd.DataFrame, k: float, home: float, factor: float, carry: float, before: dict[str, tuple[dict[str, float], int | None]] | None = None) -> pd.DataFrame:
+    """Ratings of any number of leagues, by league and in order.
+
+    ``before`` has, by league, what its teams have before the first game and
+    that season; it is left as they have it after the last.
+    """
+    pdf = pdf.sort_values(["league", "ts", "game"], kind="stable")
+    before = {} if before is None else before
+    out, last, rating, season = [], None, {}, None
+    for league, now, h, w, margin, neutral in zip(*[pdf[c].tolist() for c in ("league", "season", "home", "away", "margin", "neutral")], strict=True):
+        if not out or league != last:
+            if out:
+                before[last] = rating, season
+            last, (rating, season) = league, before.get(league, ({}, None))
+        if season is not None and now != season and rating:
             middle = sum(rating.values()) / len(rating)
-            rating.update({t: r + carry * (middle - r) for t, r in rating.items()})
-        season = g.season
-        a, b = rating.get(g.home, ELO_START), rating.get(g.away, ELO_START)
-        gap = a - b + (0.0 if g.neutral else home)
+            for t, r in rating.items():
+                rating[t] = r + carry * (middle - r)
+        season = now
+        a, b = rating.get(h, ELO_START), rating.get(w, ELO_START)
+        gap = a - b + (0.0 if neutral else home)
         p = 1 / (1 + 10 ** (-gap / 400))
-        won = 0.5 if g.margin == 0 else float(g.margin > 0)
-        lead = gap if g.margin > 0 else -gap
-        shift = k * math.log(abs(g.margin) + 1) * factor / (lead * 0.001 + factor) * (won - p) if g.margin else k * (won - p)
-        rating[g.home], rating[g.away] = a + shift, b - shift
-        out.append((g.league, g.game, a, b, p, a + shift, b - shift))
-    return pd.DataFrame(out, columns=["league", "game", "home_before", "away_before", "p_home", "home_after", "away_after"])
+        won = 0.5 if margin == 0 else float(margin > 0)
+        lead = gap if margin > 0 else -gap
+        shift = k * math.log(abs(margin) + 1) * factor / (lead * 0.001 + factor) * (won - p) if margin else k * (won - p)
+        rating[h], rating[w] = a + shift, b - shift
+        out.append((a, b, p, a + shift, b - shift))
+    if out:
+        before[last] = rating, season
+    found = pd.DataFrame(out, columns=["home_before", "away_before", "p_home", "home_after", "away_after"])
+    return pd.concat([pdf[["league", "game"]].reset_index(drop=True), found], axis=1)
+
+
+#: Leagues of a group, about: a group costs as much as a few thousand games.
+TOGETHER = 64
+_GROUP = "__group"
+
+
+def groups_of(games: DataFrame) -> Column:
+    """The group of a row's league: about TOGETHER leagues each, so groups grow in number with the table, not in size."""
+    leagues = games.agg(F.approx_count_distinct("league")).first()[0]
+    return F.pmod(F.xxhash64("league"), F.lit(max(1, -(-leagues // TOGETHER)))).alias(_GROUP)
 
 
 def elo(games: DataFrame, k: float = ELO_K, home: float = ELO_HOME, factor: float = ELO_MARGIN, carry: float = 1 / 3) -> DataFrame:
     """History of (league, game, ts, season, home, away, margin, neutral): ratings before and after each game."""
     run = lambda pdf: _elo(pdf, k, home, factor, carry)
-    return games.groupBy("league").applyInPandas(run, "league string, game long, home_before double, away_before double, p_home double, home_after double, away_after double")
+    return games.groupBy(groups_of(games)).applyInPandas(run, "league string, game long, home_before double, away_before double, p_home double, home_after double, away_after double")
 
 
 ELO_STATE = "league string, team string, rating double, season int, seen timestamp_ntz"
 
 
-def elo_step(state: DataFrame, games: DataFrame, k: float = ELO_K, home: float = ELO_HOME, factor: float = ELO_MARGIN, carry: float = 1 / 3) -> DataFrame:
-    """Ratings of all leagues through ``games`` (of one season): a row a game with what was known before it, and ELO_STATE rows with ``team``."""
+def elo_step(state: DataFrame, games: DataFrame, k: float = ELO_K, home: float = ELO_HOME, factor: float = ELO_MARGIN, carry: float = 1 / 3, group: Column | None = None) -> DataFrame:
+    """Ratings of all leagues through ``games`` (of one season): a row a game with what was known before it, and ELO_STATE rows with ``team``.
+
+    ``group`` is as from ``groups_of``, for games and state alike.
+    """
 
     def run(key: tuple, some: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        rating = dict(zip(before["team"], before["rating"], strict=True))
-        season = int(before["season"].iloc[0]) if len(before) else None
-        seen = before["seen"].max() if len(before) else pd.NaT
-        if not len(some):
-            return before.assign(game=pd.Series([pd.NA] * len(before), dtype="Int64"), home_before=np.nan, away_before=np.nan, p_home=np.nan, seen_before=pd.NaT)[names]
-        order = some.sort_values(["ts", "game"], kind="stable")
-        out = _elo(some, k, home, factor, carry, rating, season)[["league", "game", "home_before", "away_before", "p_home"]]
+        known: dict = {}
+        for league, team, rating, season in zip(*[before[c].tolist() for c in ("league", "team", "rating", "season")], strict=True):
+            known.setdefault(league, ({}, int(season)))[0][team] = rating
+        seen = before.groupby("league")["seen"].max()
+        out = _elo(some, k, home, factor, carry, known)[["league", "game", "home_before", "away_before", "p_home"]]
         # strictly earlier results only: games of one instant do not know each other's time
-        times = order["ts"].reset_index(drop=True)
-        out["seen_before"] = times.map(times.drop_duplicates().shift().set_axis(times.drop_duplicates())).fillna(seen)
-        last = pd.DataFrame({"league": key[0], "team": list(rating), "rating": list(rating.values()), "season": int(order["season"].iloc[-1]), "seen": max(x for x in (seen, times.max()) if not pd.isna(x))})
-        both = pd.concat([out, last], ignore_index=True)
+        times = some[["league", "ts"]].drop_duplicates().sort_values(["league", "ts"])
+        times["seen_before"] = times.groupby("league")["ts"].shift().fillna(times["league"].map(seen))
+        out = out.merge(some[["league", "game", "ts"]].drop_duplicates(["league", "game"]), on=["league", "game"], how="left").merge(times, on=["league", "ts"], how="left").drop(columns="ts")
+        seen = pd.concat([seen, some.groupby("league")["ts"].max()]).groupby(level=0).max()
+        rows = [(league, team, rating, season) for league, (teams, season) in known.items() for team, rating in teams.items()]
+        last = pd.DataFrame(rows, columns=["league", "team", "rating", "season"])
+        both = pd.concat([out, last.assign(seen=last["league"].map(seen))], ignore_index=True)
         both["game"], both["season"] = both["game"].astype("Int64"), both["season"].astype("Int64")
+        both["seen"], both["seen_before"] = pd.to_datetime(both["seen"]), pd.to_datetime(both["seen_before"])
         return both[names]
 
     schema = f"{ELO_STATE}, game long, home_before double, away_before double, p_home double, seen_before timestamp_ntz"
     names = [f.split()[0] for f in schema.split(", ")]
-    return games.groupBy("league").cogroup(state.groupBy("league")).applyInPandas(run, schema)
+    group = groups_of(games) if group is None else group
+    return games.groupBy(group).cogroup(state.groupBy(group)).applyInPandas(run, schema)
 
 
 def elo_grid(games: DataFrame, ks: list[float], factors: list[float]) -> DataFrame:
-    """(k, factor, n, log_loss) of every grid point over all leagues; points and leagues run in parallel."""
-    points = lambda xs: F.explode(F.array(*[F.lit(float(x)) for x in xs]))
-    rows = games.withColumn("k", points(ks)).withColumn("factor", points(factors))
+    """(k, factor, n, log_loss) of every grid point over all leagues; groups of leagues run in parallel, each at every point."""
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, factor = float(pdf["k"].iloc[0]), float(pdf["factor"].iloc[0])
-        p = _elo(pdf, k, ELO_HOME, factor, 1 / 3).merge(pdf[["game", "margin"]], on="game")
-        p = p[p["margin"] != 0]
-        q = np.clip(np.where(p["margin"] > 0, p["p_home"], 1 - p["p_home"]), 1e-15, 1)
-        return pd.DataFrame({"k": [k], "factor": [factor], "n": [len(p)], "loss": [float(-np.log(q).sum())]})
-
-    each = rows.groupBy("league", "k", "factor").applyInPandas(score, "k double, factor double, n long, loss double")
+        margin = pdf.sort_values(["league", "ts", "game"], kind="stable")["margin"].to_numpy()
+        out = []
+        for k in ks:
+            for factor in factors:
+                p = _elo(pdf, float(k), ELO_HOME, float(factor), 1 / 3)["p_home"].to_numpy()
+                q = np.clip(np.where(margin > 0, p, 1 - p)[margin != 0], 1e-15, 1)
+                out.append((float(k), float(factor), len(q), float(-np.log(q).sum())))
+        return pd.DataFrame(out, columns=["k", "factor", "n", "loss"])
+
+    each = games.groupBy(groups_of(games)).applyInPandas(score, "k double, factor double, n long, loss double")
     return each.groupBy("k", "factor").agg(F.sum("n").alias("n"), F.try_divide(F.sum("loss"), F.sum("n")).alias("log_loss"))
 
 

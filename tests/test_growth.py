@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainmark.catalog import QUERIES
-from chainmark.operators import betting, distribution, features, ranges
+from chainmark.operators import betting, distribution, features, ranges, ratings
 
 from .oracle import SF
 
@@ -82,3 +82,20 @@ def test_covers_of_a_normal_margin_need_no_list(spark: SparkSession) -> None:
 def test_roots_are_found_in_many_tasks(spark: SparkSession) -> None:
     """The table of parts is one block of one file; its rows are dealt out before the bisection."""
     assert QUERIES["devig_roots"](spark, SF).rdd.getNumPartitions() > 1
+
+
+def results(spark: SparkSession) -> DataFrame:
+    """Leagues of two seasons; the last one plays in the first only."""
+    r = random.Random(3)
+    rows = [(f"L{k}", 100 * k + i, 1 + i // 15, *r.sample("abcd", 2), r.randrange(-9, 10), i % 4 == 0) for k in range(5) for i in range(15 if k == 4 else 30)]
+    return spark.createDataFrame(rows, "league string, game long, season int, home string, away string, margin int, neutral boolean").withColumn("ts", F.timestamp_seconds(F.col("game") % 100 // 2 * 86_400).cast("timestamp_ntz"))
+
+
+def test_leagues_share_groups_and_points_their_rows(spark: SparkSession) -> None:
+    games = results(spark)
+    grid = ratings.elo_grid(games, [20, 30], [2.8])
+    assert "Generate" not in plan(grid) and "league" not in plan(grid).split("FlatMapGroupsInPandas [")[1].split("]")[0]
+    together = {(x.league, x.game): tuple(x)[2:] for x in ratings.elo(games).collect()}
+    for k in range(5):  # a league by itself has the same ratings
+        alone = ratings.elo(games.where(F.col("league") == f"L{k}")).collect()
+        assert len(alone) == (15 if k == 4 else 30) and all(together[x.league, x.game] == tuple(x)[2:] for x in alone)
