@@ -88,11 +88,12 @@ def elo_walk(games: DataFrame) -> tuple[list[int], States, Advance]:
     """
     spark = games.sparkSession
     steps = sorted(r[0] for r in games.select("season").distinct().collect())  # one row a season
+    group = ratings.groups_of(games)  # of all seasons: a state's league stays where its games are
     first = {"ratings": spark.createDataFrame([], ratings.ELO_STATE), "fit": spark.createDataFrame([(0.0,) * 6], FIT)}
 
     def advance(step: object, states: States) -> tuple[DataFrame, States]:
         now = games.where(F.col("season") == step)
-        done = kept(ratings.elo_step(states["ratings"], now), "walk")
+        done = kept(ratings.elo_step(states["ratings"], now, group=group), "walk")
         rated = done.where(F.col("game").isNotNull()).select("league", "game", "home_before", "away_before", "p_home", "seen_before")
         rows = rated.join(now.select("game", "ts", "season", "margin"), "game").withColumn("gap", F.col("home_before") - F.col("away_before"))
         x, y = F.col("gap"), F.col("margin").cast("double")

@@ -99,3 +99,21 @@ def test_leagues_share_groups_and_points_their_rows(spark: SparkSession) -> None
     for k in range(5):  # a league by itself has the same ratings
         alone = ratings.elo(games.where(F.col("league") == f"L{k}")).collect()
         assert len(alone) == (15 if k == 4 else 30) and all(together[x.league, x.game] == tuple(x)[2:] for x in alone)
+
+
+def test_steps_of_a_replay_group_leagues(spark: SparkSession) -> None:
+    """Season by season as in one fold; a league without games keeps its state; only earlier instants are seen."""
+    games = results(spark)
+    want = {x.game: x.p_home for x in ratings.elo(games).collect()}
+    state, group, got = spark.createDataFrame([], ratings.ELO_STATE), ratings.groups_of(games), {}
+    for s in (1, 2):
+        done = ranges.kept(ratings.elo_step(state, games.where(F.col("season") == s), group=group))
+        got |= {x.game: x for x in done.where("game is not null").collect()}
+        state = done.where("team is not null").select("league", "team", "rating", "season", "seen")
+    step = plan(ratings.elo_step(state, games, group=group))
+    assert "league" not in step.split("FlatMapCoGroupsInPandas [")[1].split("]")[0]
+    assert {g: x.p_home for g, x in got.items()} == want
+    assert {x.season for x in state.where("league = 'L4'").collect()} == {1} and state.where("league = 'L4'").count() > 1
+    times = {x.game: (x.league, x.ts) for x in games.collect()}
+    for g, x in got.items():
+        assert x.seen_before == max((t for league, t in times.values() if league == times[g][0] and t < times[g][1]), default=None)
