@@ -174,22 +174,98 @@ class Filter:
         self.mean, self.cov = p @ self.mean, p @ self.cov @ p.T
 
 
+#: Doubles of the covariances that are updated together.
+HELD = 1 << 22
+
+
 def _filtered(pdf: pd.DataFrame, noise: float, drift: float, share: float) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "game"], kind="stable")
-    teams = sorted({*pdf["home"], *pdf["away"]})
-    f, n, out, season, week = Filter(teams, 10.0, 2.5, 1.0), len(teams), [], None, None
-    for g in pdf.itertuples(index=False):
-        if season is not None and g.season != season:
-            f.carry(share, drift * 10)
-        elif week is not None and g.week != week:
-            f.drift(drift)
-        season, week = g.season, g.week
-        i, j, home = f.at[g.home], f.at[g.away], 0.0 if g.neutral else 0.5
-        z, likelihood = f.measure([{i: 1.0, n + j: -1.0, 2 * n: home}, {j: 1.0, n + i: -1.0, 2 * n: -home}], [g.home_value, g.away_value], [noise, noise])
-        f.project()
-        sd = math.sqrt(max(0.0, f.cov[i, i] + f.cov[n + i, n + i]))
-        out.append((g.league, g.game, f.mean[i] + f.mean[n + i], f.mean[j] + f.mean[n + j], sd, f.mean[-1], z[0], z[1], likelihood))
-    return pd.DataFrame(out, columns=["league", "game", "home_rating", "away_rating", "home_sd", "hfa", "z_home", "z_away", "log_likelihood"])
+    """The joint filter of many leagues; leagues of like size are updated together, game by game."""
+    pdf = pdf.sort_values(["league", "ts", "game"], kind="stable").reset_index(drop=True)
+    code = pd.factorize(pdf["league"], use_na_sentinel=False)[0]
+    sides = pd.DataFrame({"c": np.concatenate([code, code]), "t": pd.concat([pdf["home"], pdf["away"]], ignore_index=True)})
+    teams = sides.drop_duplicates().sort_values(["c", "t"])
+    place = sides.merge(teams.assign(at=teams.groupby("c").cumcount()), on=["c", "t"], how="left")["at"].to_numpy()
+    pdf["__i"], pdf["__j"] = place[: len(pdf)], place[len(pdf) :]
+    n = teams.groupby("c").size().to_numpy()
+    first = np.searchsorted(code, np.arange(len(n)))
+    count = np.diff(np.append(first, len(pdf)))
+    out = np.empty((len(pdf), 7))
+    order, at = np.argsort(n, kind="stable"), 0
+    while at < len(order):
+        some = order[at:]
+        # as many leagues as fit with the largest of them
+        fit = max(1, int(np.searchsorted(np.arange(1, len(some) + 1) * (2.0 * n[some] + 1) ** 2, HELD, side="right")))
+        some = some[:fit][np.argsort(-count[order[at : at + fit]], kind="stable")]
+        _together(pdf, first[some], count[some], n[some], noise, drift, share, out)
+        at += fit
+    found = pd.DataFrame(out, columns=["home_rating", "away_rating", "home_sd", "hfa", "z_home", "z_away", "log_likelihood"])
+    return pd.concat([pdf[["league", "game"]], found], axis=1)
+
+
+def _together(pdf: pd.DataFrame, first: np.ndarray, count: np.ndarray, n: np.ndarray, noise: float, drift: float, share: float, out: np.ndarray, prior_sd: float = 10.0, home_mean: float = 2.5, home_sd: float = 1.0, clip: float = 2.5) -> None:
+    """``Filter`` over leagues side by side, longest first; smaller leagues are padded with teams that nothing moves.
+
+    Centred states stay centred under centred updates, and noise d on every team
+    is d (I - J / n) once centred, so a game is one update of rank four instead of
+    products with projections. The prior is noise before the first game.
+    """
+    most, number = int(n.max()), len(n)
+    real = np.arange(most) < n[:, None]
+    both = np.concatenate([real, real, np.zeros((number, 1), bool)], axis=1).astype(float)
+    mean, cov = np.zeros((number, 2 * most + 1)), np.zeros((number, 2 * most + 1, 2 * most + 1))
+    mean[:, -1], cov[:, -1, -1] = home_mean, home_sd**2
+    columns = [pdf[c].to_numpy() for c in ("__i", "__j", "season", "week")]
+    values = [pdf[c].to_numpy(float) for c in ("home_value", "away_value")]
+    venue = np.where(pdf["neutral"].to_numpy(bool), 0.0, 0.5)
+    season = week = None
+    spread = np.zeros((number, 2 * most + 1, 4))
+    for step in range(int(count[0])):
+        m = int(np.searchsorted(-count, -step, side="left"))
+        game, a = first[:m] + step, np.arange(m)
+        i, j, now, at = (c[game] for c in columns)
+        h, size, p = venue[game][:, None], n[:m].astype(float), cov[:m]
+        if season is None:
+            d = np.full(m, prior_sd**2)
+        else:
+            over = now != season[:m]
+            d = np.where(over, drift * 10, np.where(at != week[:m], drift, 0.0))
+            if over.any():
+                k = np.flatnonzero(over)
+                mean[k, :-1] *= share
+                cov[k, :-1, :] *= share
+                cov[k, :, :-1] *= share
+        season, week = now, at
+        one = p[a, i] - p[a, most + j] + h * p[a, -1]
+        two = p[a, j] - p[a, most + i] - h * p[a, -1]
+        for ph, x, y in ((one, i, j), (two, j, i)):
+            ph[a, x] += d
+            ph[a, most + y] -= d
+        h = h[:, 0]
+        onto = lambda v: (v[a, i] - v[a, most + j] + h * v[:, -1], v[a, j] - v[a, most + i] - h * v[:, -1])  # noqa: B023, E731
+        (s11, s12), s22 = onto(one), onto(two)[1]
+        e = [y[game] - x for y, x in zip(values, onto(mean[:m]), strict=True)]
+        t11, t22 = s11 + noise, s22 + noise
+        sd = np.sqrt(np.maximum(t11, 1e-18)), np.sqrt(np.maximum(t22, 1e-18))
+        z = e[0] / sd[0], e[1] / sd[1]
+        det = t11 * t22 - s12 * s12
+        likelihood = -0.5 * (2 * math.log(2 * math.pi) + np.log(det) + (t22 * e[0] ** 2 - 2 * s12 * e[0] * e[1] + t11 * e[1] ** 2) / det)
+        u11, u22 = (s + noise * np.where(np.abs(x) > clip, np.abs(x) / clip, 1.0) ** 2 for s, x in zip((s11, s22), z, strict=True))
+        e = [np.clip(x, -clip, clip) * y for x, y in zip(z, sd, strict=True)]
+        # square root of what the two rows tell: gain times innovation, and its outer product off the covariance
+        w = spread[:m]
+        root, slope = np.sqrt(u11), s12 / u11
+        low = np.sqrt(u22 - slope * s12)
+        w[:, :, 0] = one / root[:, None]
+        w[:, :, 1] = (two - slope[:, None] * one) / low[:, None]
+        for part in (slice(0, most), slice(most, 2 * most)):
+            w[:, part, :2] -= real[:m, :, None] * (w[:, part, :2].sum(axis=1) / size[:, None])[:, None, :]
+        edge = real[:m] * np.sqrt(d / size)[:, None]
+        w[:, :most, 2], w[:, most : 2 * most, 3] = edge, edge
+        mean[:m] += w[:, :, 0] * (e[0] / root)[:, None] + w[:, :, 1] * ((e[1] - slope * e[0]) / low)[:, None]
+        p -= w @ w.transpose(0, 2, 1)
+        np.einsum("lii->li", p)[...] += both[:m] * d[:, None]
+        x = mean[:m]
+        out[game] = np.stack([x[a, i] + x[a, most + i], x[a, j] + x[a, most + j], np.sqrt(np.maximum(0.0, p[a, i, i] + p[a, most + i, most + i])), x[:, -1], *z, likelihood], axis=1)
 
 
 def joint_filter(games: DataFrame, noise: float = 100.0, drift: float = 0.5, share: float = 0.8) -> DataFrame:
@@ -198,4 +274,4 @@ def joint_filter(games: DataFrame, noise: float = 100.0, drift: float = 0.5, sha
     The full covariance lives through the whole sequence, so cross-team terms are kept.
     """
     run = lambda pdf: _filtered(pdf, noise, drift, share)
-    return games.groupBy("league").applyInPandas(run, "league string, game long, home_rating double, away_rating double, home_sd double, hfa double, z_home double, z_away double, log_likelihood double")
+    return games.groupBy(groups_of(games)).applyInPandas(run, "league string, game long, home_rating double, away_rating double, home_sd double, hfa double, z_home double, z_away double, log_likelihood double")

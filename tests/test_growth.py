@@ -84,6 +84,34 @@ def test_roots_are_found_in_many_tasks(spark: SparkSession) -> None:
     assert QUERIES["devig_roots"](spark, SF).rdd.getNumPartitions() > 1
 
 
+def test_leagues_filtered_together_equal_the_plain_filter(spark: SparkSession) -> None:
+    """Leagues of different sizes and lengths in one group: each as by itself with dense products and projections."""
+    r = random.Random(11)
+    rows = []
+    for league, (teams, n) in {"a": (6, 40), "b": (3, 60), "c": (2, 1), "d": (6, 25)}.items():
+        for i in range(n):
+            h, w = r.sample(range(teams), 2)
+            rows.append((league, i, i // 2, 1 + i // 20, i // 3, f"t{h}", f"t{w}", 28 + r.gauss(0, 30), 21 + r.gauss(0, 10), i % 5 == 0))
+    df = spark.createDataFrame(rows, "league string, game long, ts long, season int, week int, home string, away string, home_value double, away_value double, neutral boolean")
+    found = ratings.joint_filter(df, 90.0, 0.5, 0.8)
+    assert "league" not in plan(found).split("FlatMapGroupsInPandas [")[1].split("]")[0]
+    got = {(x.league, x.game): x for x in found.collect()}
+    for league in "abcd":
+        games = [x for x in rows if x[0] == league]
+        names = sorted({t for x in games for t in x[5:7]})
+        f, n, season, week = ratings.Filter(names, 10.0, 2.5, 1.0), len(names), None, None
+        for _, game, _, s, k, h, w, y, x, neutral in games:
+            if season is not None and s != season:
+                f.carry(0.8, 5.0)
+            elif week is not None and k != week:
+                f.drift(0.5)
+            season, week, i, j, home = s, k, f.at[h], f.at[w], 0.0 if neutral else 0.5
+            z, likelihood = f.measure([{i: 1.0, n + j: -1.0, 2 * n: home}, {j: 1.0, n + i: -1.0, 2 * n: -home}], [y, x], [90.0, 90.0])
+            f.project()
+            want = [f.mean[i] + f.mean[n + i], f.mean[j] + f.mean[n + j], max(0.0, f.cov[i, i] + f.cov[n + i, n + i]) ** 0.5, f.mean[-1], *z, likelihood]
+            assert list(got[league, game])[2:] == pytest.approx(want, abs=1e-9)
+
+
 def results(spark: SparkSession) -> DataFrame:
     """Leagues of two seasons; the last one plays in the first only."""
     r = random.Random(3)
