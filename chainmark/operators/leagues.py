@@ -87,10 +87,10 @@ class League:
         if len(self.at) < 2:
             return
         for i in (0, 1):
-            some = self._slots(i)
-            self.mean[some] -= self.mean[some].mean()
-            self.cov[some] -= self.cov[some].mean(axis=0)
-            self.cov[:, some] -= self.cov[:, some].mean(axis=1, keepdims=True)
+            some, n = self._slots(i), len(self.at)
+            self.mean[some] -= self.mean[some].sum() / n
+            self.cov[some] -= self.cov[some].sum(axis=0) / n
+            self.cov[:, some] -= self.cov[:, some].sum(axis=1, keepdims=True) / n
 
     def between_seasons(self, priors: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         """Each team's block by itself from here: its new prior if it has one, else towards the prior mean with more doubt."""
@@ -153,14 +153,18 @@ class League:
         """(predictions, their deviations, z, log likelihood); then the joint update.
 
         Innovations are clipped and clipped rows trusted less by (z / clip) ** 2;
-        the covariance is Joseph's form written out, quadratic in the state.
+        with the gain of those variances Joseph's form is the covariance less
+        gain times its innovations. Only the places that the rows name are read.
         """
-        h = np.zeros((len(rows), len(self.mean)))
+        some = sorted({i for _, places, _, _ in rows for i in places})
+        at = {i: k for k, i in enumerate(some)}
+        h = np.zeros((len(rows), len(some)))
         for i, (_, places, _, _) in enumerate(rows):
-            h[i, list(places)] = list(places.values())
+            for k, v in places.items():
+                h[i, at[k]] = v
         y, r = np.array([x[2] for x in rows]), np.array([x[3] for x in rows])
-        ph, mu = self.cov @ h.T, h @ self.mean
-        hph = h @ ph
+        ph, mu = (h @ self.cov[some]).T, h @ self.mean[some]
+        hph = h @ ph[some]
         s, e = hph + np.diag(r), y - mu
         sd = np.sqrt(np.maximum(np.diag(s), 1e-18))
         z = e / sd
@@ -168,9 +172,7 @@ class League:
         used = hph + np.diag(r * np.where(np.abs(z) > self.c.clip, np.abs(z) / self.c.clip, 1.0) ** 2)
         gain = np.linalg.solve(used, ph.T).T
         self.mean = self.mean + gain @ (np.clip(z, -self.c.clip, self.c.clip) * sd)
-        cross = gain @ ph.T
-        cov = self.cov - cross - cross.T + gain @ used @ gain.T
-        self.cov = (cov + cov.T) / 2
+        self.cov = self.cov - gain @ ph.T
         self.centre()
         return mu, sd, z, likelihood
 
@@ -219,7 +221,7 @@ def _season(c: Config):
                 b = None if lower else league.base(t)
                 own += [math.nan, math.nan] if b is None else [league.mean[b] + league.mean[b + 1], math.sqrt(max(0.0, league.cov[b, b] + league.cov[b + 1, b + 1] + 2 * league.cov[b, b + 1]))]
             out.append((key[0], season, int(g.week), int(g.game), g.home, g.away, mu, sd, z.tolist(), [r[0] for r in rows], likelihood, own[0], own[2], own[1], own[3], float(league.mean[HOME]), float(league.mean[SCORING]), None, None, None, seen))
-        out.append((key[0], season, None, None, None, None, math.nan, math.nan, None, None, math.nan, math.nan, math.nan, math.nan, math.nan, math.nan, math.nan, list(league.at), league.mean.tolist(), league.cov.ravel().tolist(), seen))
+        out.append((key[0], season, None, None, None, None, math.nan, math.nan, None, None, math.nan, math.nan, math.nan, math.nan, math.nan, math.nan, math.nan, list(league.at), league.mean, ((league.cov + league.cov.T) / 2).ravel(), seen))
         names = [f.split()[0] for f in _OUT.split(", ")]
         table = pd.DataFrame(out, columns=names)
         table[["week", "game"]] = table[["week", "game"]].astype("Int64")
