@@ -21,6 +21,8 @@ from . import features
 PENALTY = 5.0
 #: Relative residual at which a group is solved, and the most iterations.
 ENOUGH, MOST = 1e-10, 200
+#: Rows of a task that puts measures side by side, about.
+ROWS = 1_000_000
 SIDES, FORMS = ("off", "def"), ("std", "ewma", "l3d")
 # The adjusted metrics by name and the columns they come from.
 METRICS = {
@@ -127,9 +129,12 @@ def family(obs: DataFrame, offense: str, defense: str, home: str, order: list[st
     """
     found = kept(solve(obs, ["measure"], offense, defense, home, "y"), "solved")
     games = kept(adjusted(obs, ["measure"], offense, defense, home, "y", found), "adjusted")
+    # more rows make more tasks, so that what a task sums up stays as it is
+    tasks = max(int(games.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-games.count() // ROWS))
     out = None
     for side, entity in (("off", offense), ("def", defense)):
-        wide = games.groupBy(F.col(entity).cast("string").alias("entity"), *order).pivot("measure", list(metrics)).agg(F.first(f"adj_{side}"))
+        own = games.select(F.col(entity).cast("string").alias("entity"), *order, "measure", f"adj_{side}").repartition(tasks, "entity", *order)
+        wide = own.groupBy("entity", *order).pivot("measure", list(metrics)).agg(F.first(f"adj_{side}"))
         values = features.entity_values(wide, "entity", order, dict.fromkeys(metrics, half_life))
         named = values.select("entity", *[F.col(f"{m}_{f}").alias(feature_name(side, m, f)) for m in metrics for f in FORMS])
         out = named if out is None else out.join(named, "entity", "full")
