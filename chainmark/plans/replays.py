@@ -59,20 +59,14 @@ def league_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     epa = lambda c: (F.col(c) - 20) / 100
     none = F.lit(None).cast("double")
     rows = games.select("league", "season", "week", "game", "ts", "home", "away", epa("home_value").alias("home_epa"), epa("away_value").alias("away_epa"), (60 + F.col("game") % 25).cast("double").alias("home_plays"), none.alias("away_plays"), epa("home_value").alias("home_st"), epa("away_value").alias("away_st"), (60 + F.col("game") % 21).cast("double").alias("pace"), F.col("margin").cast("double").alias("margin"), "neutral", F.lit(False).alias("home_lower"), F.lit(False).alias("away_lower"))
-    rows = kept(rows, "games")
-    state, out = leagues.start(spark), None
-    for s in sorted(r[0] for r in rows.select("season").distinct().collect()):  # one row a season
-        done = kept(leagues.season(state, rows.where(F.col("season") == s), leagues.Config()), "season")
-        state = leagues.state_of(done)
-        n = F.size("mean")
-        at = F.sequence(F.lit(2), n - 1, F.lit(leagues.BLOCK))
-        total = lambda d: F.aggregate(at, F.lit(0.0), lambda a, i: a + F.get("mean", i + d))
-        centre = F.greatest(F.abs(total(0)), F.abs(total(1)))
-        skew = F.array_max(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.abs(F.get("cov", i * n + (i * 7 + 1) % n) - F.get("cov", (i * 7 + 1) % n * n + i))))
-        played = leagues.history_of(done).groupBy("league").agg(F.count("*").alias("n_games"), F.count_if(~F.isnan("log_likelihood") & F.col("home_sd").isNotNull() & (F.size("z") == 5)).alias("n_finite"))
-        some = state.join(played, "league").select("league", F.lit(s).alias("season"), "n_games", F.size("teams").cast("long").alias("n_teams"), n.cast("long").alias("dimensions"), r6(centre).alias("centre"), r6(skew).alias("asymmetry"), "n_finite")
-        out = some if out is None else out.unionByName(some)
-    return out
+    done = leagues.replay(rows)
+    n = F.size("mean")
+    at = F.sequence(F.lit(2), n - 1, F.lit(leagues.BLOCK))
+    total = lambda d: F.aggregate(at, F.lit(0.0), lambda a, i: a + F.get("mean", i + d))
+    centre = F.when(F.col("teams").isNotNull(), F.greatest(F.abs(total(0)), F.abs(total(1))))
+    fine = ~F.isnan("log_likelihood") & F.col("home_sd").isNotNull() & (F.size("z") == 5)
+    found = done.groupBy("league", "season").agg(F.count("game").alias("n_games"), F.max(F.size("teams")).cast("long").alias("n_teams"), F.max(n).cast("long").alias("dimensions"), F.max(centre).alias("centre"), F.max("asymmetry").alias("asymmetry"), F.count_if(fine).alias("n_finite"))
+    return found.select("league", "season", "n_games", "n_teams", "dimensions", r6("centre").alias("centre"), r6("asymmetry").alias("asymmetry"), "n_finite")
 
 
 @query("""

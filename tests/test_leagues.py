@@ -143,3 +143,80 @@ def test_tuning_finds_the_planted_noise(spark: SparkSession) -> None:
     assert score == max(t["log_likelihood"] for t in trials)
     alone = leagues.run(games, best).agg(F.sum("log_likelihood")).first()[0]
     assert math.isclose(alone, score, rel_tol=1e-9)
+
+
+def alone(c: leagues.Config, games: list[dict], priors: dict, events: dict) -> tuple[dict, dict]:
+    """A league by itself, game by game: (numbers and names by game, (teams, mean, covariance) by season it plays in)."""
+    league, rows, states = leagues.League(c), {}, {}
+    for s in range(min(g["season"] for g in games), 4):
+        some = sorted((g for g in games if g["season"] == s), key=lambda g: (g["ts"], g["game"]))
+        if rows:
+            league.between_seasons(priors.get(s, {}))
+        league.admit(sorted({g[n] for g in some for n in ("home", "away") if not g[f"{n}_lower"]}), priors.get(s, {}))
+        week = None
+        for g in map(lambda g: types.SimpleNamespace(**g), some):
+            if g.week != week:
+                league.week(events.get((s, g.week), {}))
+                week = g.week
+            used = league.rows(g)
+            m, d, z, likelihood = league.measure(used) if used else ([], [], [], 0.0)
+            own = []
+            for t, lower in ((g.home, g.home_lower), (g.away, g.away_lower)):
+                b = None if lower else league.base(t)
+                own.append((NAN, NAN) if b is None else (league.mean[b] + league.mean[b + 1], math.sqrt(max(0.0, league.cov[b, b] + league.cov[b + 1, b + 1] + 2 * league.cov[b, b + 1]))))
+            last = (m[-1], d[-1]) if used and used[-1][0] == "margin" else (NAN, NAN)
+            rows[g.game] = [*last, likelihood, own[0][0], own[1][0], own[0][1], own[1][1], league.mean[0], league.mean[1], *z], [x[0] for x in used]
+        if some:
+            states[s] = list(league.at), league.mean.copy(), (league.cov + league.cov.T) / 2
+    return rows, states
+
+
+def test_leagues_together_equal_each_by_itself(spark: SparkSession) -> None:
+    """Leagues of different sizes and lengths in one group, with gaps of every kind, all seasons in one job and season by season."""
+    r, c, rows = np.random.default_rng(8), leagues.Config(), []
+    for league, (teams, n, seasons) in {"a": (7, 30, (1, 2, 3)), "b": (3, 50, (1, 3)), "c": (2, 4, (2, 3)), "d": (12, 25, (1, 2)), "one": (1, 6, (1, 2))}.items():
+        for s in seasons:
+            names = [f"t{k}" for k in range(max(1, teams - 2 * (s == 1)))]
+            for k in range(n):
+                h, a = r.choice(names, 2, replace=False) if len(names) > 1 else (names[0], "far")
+                gap = lambda x: NAN if k % 7 == 3 or r.random() < 0.2 else float(x)  # noqa: B023, E731
+                values = dict(home_epa=gap(r.normal(0, 0.4)), away_epa=gap(r.normal(0, 0.4)), home_plays=gap(r.integers(0, 90)), home_st=gap(r.normal(0, 0.3)), away_st=gap(r.normal(0, 0.3)), pace=gap(r.integers(55, 85)), margin=gap(r.integers(-60, 60)))
+                rows.append(game(len(rows), s, k // 4, str(h), str(a), league=league, neutral=k % 5 == 0, home_lower=bool(len(names) > 1 and r.random() < 0.1), away_lower=bool(len(names) == 1 or r.random() < 0.1), **values))
+    priors = [("a", 1, "t1", 0.2, 0.1, 0.0, 0.05, 0.01), ("a", 2, "t1", 0.1, 0.0, 0.1, 0.0, 0.02), ("b", 3, "t2", -0.2, 0.1, 0.0, 0.0, 0.03)]
+    events = [("a", 1, 2, "t3", "qb_change"), ("a", 1, 2, "t3", "3"), ("b", 3, 0, "t0", "7"), ("d", 2, 5, "t11", "coordinator_change"), ("d", 1, 0, "t11", "9")]
+    p = spark.createDataFrame(priors, "league string, season int, team string, off_epa double, def_epa double, st_value double, pace double, var double")
+    e = spark.createDataFrame(events, "league string, season int, week int, team string, event string")
+    df = frame(spark, rows)
+    found = leagues.replay(df, c, p, e, covariance=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow [__group" in plan and plan.count("Exchange") == 1  # one job, groups of leagues
+    whole, state, steps = found.collect(), leagues.start(spark), []
+    for s in (1, 2, 3):
+        done = leagues.kept(leagues.season(state, *[x.where(F.col("season") == s) if x is not c else c for x in (df, c, p, e)]))
+        state, steps = leagues.state_of(done), steps + done.collect()
+    for league in "a", "b", "c", "d", "one":
+        told: dict = {}
+        for _, s, week, t, kind in (x for x in events if x[0] == league):
+            factors = told.setdefault((s, week), {})
+            factors[t] = factors.get(t, 1.0) * (leagues.EVENTS[kind] if kind in leagues.EVENTS else float(kind))
+        given = {s: {x[2]: (np.array(x[3:7]), np.full(4, x[7])) for x in priors if x[:2] == (league, s)} for s in (1, 2, 3)}
+        want, states = alone(c, [g for g in rows if g["league"] == league], given, told)
+        for some in (whole, steps):
+            got = {x.game: x for x in some if x.teams is None and x.league == league}
+            assert got.keys() == want.keys()
+            for g, (numbers, names) in want.items():
+                x = got[g]
+                mine = [x.mu, x.sd, x.log_likelihood, x.home_rating, x.away_rating, x.home_sd, x.away_sd, x.hfa, x.scoring, *x.z]
+                assert x.names == names and [NAN if v is None else v for v in mine] == pytest.approx(numbers, abs=1e-9, nan_ok=True), (league, g)
+        mine = {x.season: x for x in whole if x.teams is not None and x.league == league}
+        assert mine.keys() == states.keys()
+        for s, (teams, mean, cov) in states.items():
+            assert mine[s].teams == teams and mine[s].asymmetry < 1e-12
+            assert np.allclose(mine[s]["mean"], mean, atol=1e-9) and np.allclose(np.reshape(mine[s]["cov"], cov.shape), cov, atol=1e-9)
+
+
+def test_lots_of_leagues_are_bounded() -> None:
+    some = [leagues.Known(str(k), np.zeros(2), np.eye(2), {str(t): t for t in range(n)}) for k, n in enumerate([3, 400, 20, 3, 25, 150])]
+    lots = leagues._lots(some)
+    assert sorted(k.league for lot in lots for k in lot) == sorted(k.league for k in some)
+    assert all(len(lot) == 1 or len(lot) * (2 + 3 * max(len(k.teams) for k in lot)) ** 2 <= leagues.HELD for lot in lots) and len(lots) > 1
