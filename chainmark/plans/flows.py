@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality
+from ..operators.ratings import TOGETHER
 from ..sources import payloads
 from ..sources.store import Store, TableSpec, delete_on_exit, scratch
 from ..streaming import captures
@@ -135,13 +136,20 @@ def stream_into_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(LATEST.name).select("user_id", "ts", "event_id")
 
 
+#: Batches that results come in, and rows of a file, about.
+BATCHES, ARRIVING = 4, 250_000
+
+
 @query(SQL["elo_fold"])
 def stream_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results that arrive in hashed order, in four batches: the ratings are those of the ordered fold."""
     at = f"{scratch(spark)}/results-{uuid.uuid4().hex}"
     games = _games(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).select("league", "game", "ts", "season", "home", "away", "margin", "neutral")
-    games.repartition(4, F.xxhash64(F.lit("arrival"), "game")).write.option("maxRecordsPerFile", 1_000_000).parquet(at)
+    n, leagues = games.agg(F.count("*"), F.approx_count_distinct("league")).first()
+    files = max(1, -(-n // (BATCHES * ARRIVING)))  # of a batch: a batch rates all games so far, so more rows make larger batches, not more
+    games.repartition(BATCHES * files, F.xxhash64(F.lit("arrival"), "game")).write.parquet(at)
     delete_on_exit(spark, at)
-    stream = spark.readStream.schema(games.schema).option("maxFilesPerTrigger", 1).parquet(at)
-    found = captures.drain(streaming.elo_stream(stream, "36500 days"), "update", ["league", "game"])
+    stream = spark.readStream.schema(games.schema).option("maxFilesPerTrigger", files).parquet(at)
+    groups = max(1, -(-leagues // TOGETHER), min(4 * spark.sparkContext.defaultParallelism, leagues // 8))
+    found = captures.drain(streaming.elo_stream(stream, "36500 days", groups=groups), "update", ["league", "game"])
     return found.select("game", *[r6(c).alias(c) for c in ("home_before", "away_before", "p_home", "home_after", "away_after")])

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainmark.operators import ratings
+from chainmark.plans import flows
 from chainmark.streaming import captures
 from chainmark.streaming import ratings as streaming
 
+from .oracle import SF
+
 
 def games(spark: SparkSession, n: int = 160) -> DataFrame:
     a = F.pmod(F.xxhash64("game"), F.lit(5))
@@ -56,3 +60,38 @@ def test_results_behind_the_watermark_are_dropped(spark: SparkSession, tmp_path:
     assert 2 not in got and len(got) == 79
     want = rated(ratings.elo(g.where("game <> 2")))
     assert {k: v for k, v in got.items() if k != 79} == {k: v for k, v in want.items() if k != 79}
+
+
+def test_leagues_kept_together(spark: SparkSession, tmp_path: Path) -> None:
+    """Two leagues in one group, the second silent for a while: late games, snapshots and repeats as by themselves, and what did not change is not given out again."""
+    g = games(spark, 120)
+    whole, at = rated(ratings.elo(g)), f"file://{tmp_path}/run"
+    (tmp_path / "now").mkdir()
+    late = "league = 'L0' and game in (72, 76)"
+    for i, some in enumerate((g.where("game < 60"), g.where(f"game >= 60 and game < 90 and league = 'L0' and not ({late})"), g.where(f"{late} or (game >= 60 and (game >= 90 or league = 'L1')) or game = 88"))):
+        some.coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+        for f in (tmp_path / "in" / str(i)).glob("*.parquet"):
+            f.rename(tmp_path / "now" / f"{i}-{f.name}")
+        found = captures.drain(streaming.elo_stream(source(spark, tmp_path / "now"), "20 days", groups=1), "update", ["league", "game"], at)
+    assert rated(found) == whole
+    given = spark.read.parquet(f"{at}/rows")
+    assert given.where("batch = 1 and (league = 'L1' or game < 60)").count() == 0
+    assert given.where("league = 'L0' and game < 72").groupBy("game").count().where("count > 1").count() == 0
+
+
+def test_more_results_make_larger_batches(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """A batch rates all games so far, so batches stay four however many files the results have; leagues share groups."""
+    monkeypatch.setattr(flows, "ARRIVING", 100)
+    found = []
+
+    def drain(rows: DataFrame, mode: str, key: list[str]) -> DataFrame:
+        found.append(drained(rows, mode, key))
+        return found[0]
+
+    drained = captures.drain
+    monkeypatch.setattr(captures, "drain", drain)
+    n, orders = flows.stream_elo(spark, SF).count(), spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert n == orders > 8 * flows.ARRIVING
+    batches = spark.read.parquet(found[0].inputFiles()[0].split("/batch=")[0]).groupBy("batch").count().collect()
+    # some rows of each batch, and all games so far in the last
+    assert sorted(r.batch for r in batches) == [0, 1, 2, 3] and max(r["count"] for r in batches) > 0.9 * n
