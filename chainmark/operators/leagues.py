@@ -340,7 +340,7 @@ def _together(c: Config, some: list[Known], g: pd.DataFrame, events: dict[tuple[
     variance, variances = np.einsum("lii->li", cov), np.einsum("lpii->lpi", doubt)
     pending, rough = np.zeros(number), np.zeros(number, bool)
     w, product = np.zeros((number, 5, wide)), np.empty_like(cov)
-    pair, part = np.arange(2)[:, None], np.arange(2)
+    pair = np.arange(2)[:, None]
     for s, e in zip(edges[:-1], edges[1:], strict=True):
         m = e - s
         a, p, x, over = np.arange(m), cov[:m], mean[:m], fresh[s:e]
